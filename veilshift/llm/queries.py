@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from .mixing import SQL as MIXING_SQL
 from .mixing import op1_mixing
+from .packing import op4_packing
+from .secrets import op10_secrets
 
 
 def queries() -> dict:
@@ -11,6 +13,8 @@ def queries() -> dict:
 
     return {
         "op1_mixing": op1_mixing,
+        "op4_packing": op4_packing,
+        "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
     }
 
