@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .media import op2_media
 from .mixing import SQL as MIXING_SQL
 from .mixing import op1_mixing
 from .packing import op4_packing
 from .secrets import op10_secrets
+from .toxicity import op5_toxicity
 
 
 def queries() -> dict:
@@ -13,7 +15,9 @@ def queries() -> dict:
 
     return {
         "op1_mixing": op1_mixing,
+        "op2_media": op2_media,
         "op4_packing": op4_packing,
+        "op5_toxicity": op5_toxicity,
         "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
     }
