@@ -6,6 +6,7 @@ from .media import op2_media
 from .mixing import SQL as MIXING_SQL
 from .mixing import op1_mixing
 from .packing import op4_packing
+from .quality import op3_quality
 from .secrets import op10_secrets
 from .toxicity import op5_toxicity
 
@@ -16,6 +17,7 @@ def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
         "op2_media": op2_media,
+        "op3_quality": op3_quality,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op10_secrets": op10_secrets,
