@@ -5,6 +5,7 @@ from __future__ import annotations
 from .media import op2_media
 from .mixing import SQL as MIXING_SQL
 from .mixing import op1_mixing
+from .neardup import op9_near_duplicates
 from .packing import op4_packing
 from .quality import op3_quality
 from .secrets import op10_secrets
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op3_quality": op3_quality,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
+        "op9_near_duplicates": op9_near_duplicates,
         "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
     }
