@@ -9,6 +9,7 @@ from .neardup import op9_near_duplicates
 from .packing import op4_packing
 from .quality import op3_quality
 from .secrets import op10_secrets
+from .substrings import op6_substrings
 from .toxicity import op5_toxicity
 
 
@@ -21,6 +22,7 @@ def queries() -> dict:
         "op3_quality": op3_quality,
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
+        "op6_substrings": op6_substrings,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
