@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .chats import SQL as CHATS_SQL
+from .chats import op8_chats
+from .licenses import SQL as LICENSES_SQL
+from .licenses import op7_licenses
 from .media import op2_media
 from .mixing import SQL as MIXING_SQL
 from .mixing import op1_mixing
@@ -23,6 +27,8 @@ def queries() -> dict:
         "op4_packing": op4_packing,
         "op5_toxicity": op5_toxicity,
         "op6_substrings": op6_substrings,
+        "op7_licenses": op7_licenses,
+        "op8_chats": op8_chats,
         "op9_near_duplicates": op9_near_duplicates,
         "op10_secrets": op10_secrets,
         "pipeline": corpus_pipeline.run,
@@ -30,4 +36,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": MIXING_SQL}
+    return {"op1_mixing": MIXING_SQL, "op7_licenses": LICENSES_SQL, "op8_chats": CHATS_SQL}
