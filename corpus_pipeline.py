@@ -1,17 +1,61 @@
-"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, packing."""
+"""The corpus pipeline: quality rules, near duplicates, secrets, mixing, packing.
+
+Every stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
+columns of documents. A text that a stage changes has its n_chars set anew.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veilshift.llm import mixing, neardup, packing, quality, secrets
+from veilshift.llm.common import documents, keep
 
-STAGES: list = []
+#: SQL can't express the language model, the exact components and the tokenizer.
 ORACLE_SQL = None
 
 
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else docs
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their language's perplexity band reject go."""
+    return quality.good_documents(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of documents that links of Jaccard similarity 0.8 connect, the one of smallest doc_id stays."""
+    return neardup.one_of_each(docs)
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Live-looking credentials are masked; no document goes."""
+    return _measured(secrets.masked(docs))
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each time that the mix takes a document; the text at a source's budget ends there."""
+    return _measured(mixing.mixed_documents(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near duplicates", near_duplicates),
+    ("secret scans", secret_scans),
+    ("mixing sources", mixing_sources),
+    ("packing", packed),
+]
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents, each over the kept table of the one before."""
-    from veilshift.llm.common import documents, keep
-
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

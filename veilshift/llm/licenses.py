@@ -21,7 +21,7 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Where blocks end.
 BLOCK_END = r"[.!?][\x09-\x0D\x20]|\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-THRESHOLD = 0.8
+THRESHOLD = 0.9
 
 #: Fixed phrases of the base rule and their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
