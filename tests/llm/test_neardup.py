@@ -74,6 +74,11 @@ def test_sets_of_hashes():
     assert [len(s) for s in shingle_sets([t or "" for t in texts])] == [len(brute_set(t)) for t in texts]
     a, b = (np.arange(n, dtype=np.uint64) << np.uint64(54) for n in (8, 10))
     assert N.linked(a, b) and not N.linked(a[:7], b)
+    random.seed(5)
+    for _ in range(200):  # maps never differ more than the sets
+        x, y = (np.unique(np.random.default_rng(random.randint(0, 1 << 30)).integers(0, 3000, n).astype(np.uint64)) for n in (random.randint(1, 900), random.randint(1, 900)))
+        bits = [np.unpackbits(np.frombuffer(N.parities(z), np.uint8)) for z in (x, y)]
+        assert int((bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(x, y))
     assert N.prefix_length(1) == 1 and N.prefix_length(10) == 3
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -29,14 +30,47 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors."""
+def keep(df: DataFrame, name: str, large: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors.
+
+    large: what was shuffled for it is worth freeing at once; Spark frees it when the driver collects its garbage.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/kept/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if large:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(kept: DataFrame) -> None:
+    """Delete a kept table that no later step reads."""
+    spark = kept.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in kept.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def thrifty(batches):
+    """Arrow batches, with the memory of each given back to the system before the next: workers live on between tasks,
+    and several of them share an executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        libc = None
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        if libc is not None:
+            libc.malloc_trim(0)
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; null has none."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), F.lit(0)).cast("long")

@@ -3,7 +3,8 @@
 Equal sets become one node. The shingles of a set are ordered rare first; the frequency is that of the shingle's cell
 in a sketch that counts all documents, so the order is the same everywhere and frequent shingles come last. Two sets
 that link share a shingle of their prefixes. Rows of one prefix shingle meet, pairs pass length and positional
-filters, and each pair is verified once on whole sets, behind a suffix filter.
+filters, then a filter by parity maps of the sets, and what is left is verified once on whole sets, behind a suffix
+filter.
 
 No group is turned into all its pairs. First every row of a group is paired with its neighbours in a few orders and
 with a head; verified pairs are united. Then only rows of a group that still lie in different components are paired,
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, keep
+from .common import discard, documents, keep
 from .components import components
 from .quality import _portions
 from .shingles import shingle_sets
@@ -37,6 +38,8 @@ ORDERS = 4
 HELD = 4_000_000
 #: Buckets of the suffix filter.
 BUCKETS = 32
+#: Bits of a set's parity map.
+BITS = 2048
 
 
 def _node(s: np.ndarray) -> int:
@@ -47,16 +50,22 @@ def _cell(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - CELLS.bit_length() + 1)).astype(np.int64)
 
 
+def parities(s: np.ndarray) -> bytes:
+    """Of each of BITS cells whether an odd number of hashes falls in it. Two sets differ in as many hashes, at least,
+    as their maps differ in bits."""
+    return np.packbits(np.bincount((s % np.uint64(BITS)).astype(np.int64), minlength=BITS).astype(np.uint8) & 1).tobytes()
+
+
 def prefix_length(n: int) -> int:
     """A set of n that links shares one of its first so many shingles."""
     return n - -(-4 * n // 5) + 1
 
 
 def _node_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(nd_id, n, node) of each row, and the sketch (cell, c); one pass over the texts."""
+    """(nd_id, n, node, map) of each row, and the sketch (cell, c); one pass over the texts."""
     rows = docs.select(F.col(id_col).alias("nd_id"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["nd_id"].dataType.simpleString()
-    names = ["nd_id", "n", "node", "cells", "counts"]
+    names = ["nd_id", "n", "node", "map", "cells", "counts"]
 
     def run(batches):
         total = np.zeros(CELLS, np.int64)
@@ -66,15 +75,15 @@ def _node_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame,
             sets = shingle_sets([t or "" for t in texts])
             total += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
             none = pa.nulls(len(sets), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.array([parities(s) for s in sets], pa.binary()), none, none], names)
         used = np.nonzero(total)[0]
         if len(used):
             lists = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.array([used], lists), pa.array([total[used]], lists)], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, id_type), pa.array([-1], pa.int64()), pa.array([0], pa.int64()), pa.nulls(1, pa.binary()), pa.array([used], lists), pa.array([total[used]], lists)], names)
 
-    every = keep(rows.mapInArrow(run, f"nd_id {kind}, n bigint, node bigint, cells array<bigint>, counts array<bigint>"), "near-nodes")
+    every = keep(rows.mapInArrow(run, f"nd_id {kind}, n bigint, node bigint, map binary, cells array<bigint>, counts array<bigint>"), "near-nodes")
     cells = every.filter("n < 0").select(F.explode(F.arrays_zip("cells", "counts")).alias("x")).groupBy(F.col("x.cells").alias("cell")).agg(F.sum("x.counts").alias("c"))
-    return every.filter("n >= 0").select("nd_id", "n", "node"), cells
+    return every.filter("n >= 0").select("nd_id", "n", "node", "map"), cells
 
 
 def _prefixes(docs: DataFrame, text_col: str, sketch) -> DataFrame:
@@ -162,11 +171,29 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
     return int(np.count_nonzero(both[1:] == both[:-1])) >= least
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """pairs: a, b. Those that link, as u, v; each pair is compared once."""
-    pairs = keep(pairs.distinct(), "near-pairs")
+def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs, each once, whose parity maps don't rule a link out."""
+    pairs = keep(pairs.distinct(), "near-pairs", large=True)
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    maps = nodes.select("node", "n", "map").join(ids, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+
+    def run(batches):
+        for x in batches:
+            n, m = (x.column(k).to_numpy() for k in (2, 3))
+            of = [np.frombuffer(b"".join(x.column(k).to_pylist()), np.uint64).reshape(-1, BITS // 64) for k in (4, 5)]
+            apart = np.bitwise_count(of[0] ^ of[1]).sum(axis=1, dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["a", "b"]).filter(pa.array(apart <= n + m - 2 * -(-4 * (n + m) // 9)))
+
+    side = lambda c: maps.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"m{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ma", "mb")
+    return keep(both.mapInArrow(run, "a bigint, b bigint"), "near-possible", large=True)
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, table: DataFrame) -> DataFrame:
+    """pairs: a, b. Those that link, as u, v; each pair is compared once, on whole sets."""
+    pairs = _possible(pairs, table)
     nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
-    sets = keep(_sets(docs, text_col, nodes), "near-sets")
+    sets = keep(_sets(docs, text_col, nodes), "near-sets", large=True)
 
     def run(batches):
         for x in batches:
@@ -175,7 +202,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(1)], ["u", "v"]).filter(pa.array(hit, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return keep(both.select("a", "b", "sa", "sb").mapInArrow(run, "u bigint, v bigint"), "near-links")
+    links = keep(both.select("a", "b", "sa", "sb").mapInArrow(run, "u bigint, v bigint"), "near-links", large=True)
+    discard(sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -194,11 +223,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = _prefixes(docs, text_col, spark.sparkContext.broadcast(counts))
     alike = Window.partitionBy("sh", "salt")
     rows = rows.withColumns({"some": F.min("node").over(alike), "most": F.max("node").over(alike)})
-    rows = keep(rows.filter("some <> most or parts > 1").drop("some", "most"), "near-rows")
+    rows = keep(rows.filter("some <> most or parts > 1").drop("some", "most"), "near-rows", large=True)
 
     heads = rows.filter("parts > 1").groupBy("sh", "salt").agg(F.min(F.struct("node", "n", "pos")).alias("x")).select("sh", "x.*")
     pairs = _neighbours(rows, ["sh", "salt"]).unionByName(_neighbours(heads, ["sh"]))
-    first = _verified(pairs, docs, text_col)
+    first = _verified(pairs, docs, text_col, nodes)
     united = components(first)
 
     # what is left: rows of one shingle in different components
@@ -210,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
     met = a.join(b, (F.col("a.sh") == F.col("b.sh")) & smaller & (F.col("a.label") != F.col("b.label")) & _passes(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
     rest = met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
-    second = _verified(rest, docs, text_col)
+    second = _verified(rest, docs, text_col, nodes)
     of_node = components(united.unionByName(second)) if second.limit(1).count() else united
 
     by_node = nodes.filter("n > 0").groupBy("node").agg(F.min("nd_id").alias("first"))
