@@ -79,7 +79,7 @@ def test_sets_of_hashes():
         x, y = (np.unique(np.random.default_rng(random.randint(0, 1 << 30)).integers(0, 3000, n).astype(np.uint64)) for n in (random.randint(1, 900), random.randint(1, 900)))
         bits = [np.unpackbits(np.frombuffer(N.parities(z), np.uint8)) for z in (x, y)]
         assert int((bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(x, y))
-    assert N.prefix_length(1) == 1 and N.prefix_length(10) == 3
+    assert N.prefix_length(1) == 1 and N.prefix_length(10) == 3 and N.prefix_length(100) == 23
 
 
 def test_components(spark):

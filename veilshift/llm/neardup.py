@@ -33,7 +33,9 @@ CELLS = 1 << 17
 #: Rows of a shingle that one task takes, over four times the mean of a cell.
 HOT = 5_000
 #: Orders in which the rows of a group are chained.
-ORDERS = 4
+ORDERS = 2
+#: A set of n shares at least 1 + n // MORE shingles of prefixes that are so much longer.
+MORE = 50
 #: Nodes that executors hold at once, 8 bytes each, to pick out the sets that pairs need.
 HELD = 4_000_000
 #: Buckets of the suffix filter.
@@ -57,8 +59,14 @@ def parities(s: np.ndarray) -> bytes:
 
 
 def prefix_length(n: int) -> int:
-    """A set of n that links shares one of its first so many shingles."""
-    return n - -(-4 * n // 5) + 1
+    """A set of n that links shares 1 + n // MORE, at least, of its first so many shingles: of the shingles that two
+    linked sets share, the k-th in the global order has all but k - 1 of at least 4n/5 shared ones from it on."""
+    return min(n, n - -(-4 * n // 5) + 1 + n // MORE)
+
+
+def needed(n):
+    """Shared prefix shingles of a set of n that links: as many as for the smallest set that it can link with."""
+    return 1 + F.floor(F.ceil(4 * n / 5) / MORE)
 
 
 def _node_table(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -174,7 +182,7 @@ def linked(a: np.ndarray, b: np.ndarray) -> bool:
 def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs, each once, whose parity maps don't rule a link out."""
     pairs = keep(pairs.distinct(), "near-pairs", large=True)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     maps = nodes.select("node", "n", "map").join(ids, "node", "left_semi").groupBy("node").agg(F.first("n").alias("n"), F.first("map").alias("map"))
 
     def run(batches):
@@ -192,7 +200,7 @@ def _possible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, text_col: str, table: DataFrame) -> DataFrame:
     """pairs: a, b. Those that link, as u, v; each pair is compared once, on whole sets."""
     pairs = _possible(pairs, table)
-    nodes = keep(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "near-ids")
+    nodes = keep(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "near-ids")
     sets = keep(_sets(docs, text_col, nodes), "near-sets", large=True)
 
     def run(batches):
@@ -225,6 +233,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumns({"some": F.min("node").over(alike), "most": F.max("node").over(alike)})
     rows = keep(rows.filter("some <> most or parts > 1").drop("some", "most"), "near-rows", large=True)
 
+    # chance brings sets a shared shingle or two: without enough of them a set has no partner
+    enough = rows.groupBy("node").agg(F.count_distinct("sh").alias("shared"), F.first("n").alias("m")).filter(F.col("shared") >= needed(F.col("m"))).select("node")
+    rows = keep(rows.join(enough, "node", "left_semi"), "near-partners", large=True)
+
     heads = rows.filter("parts > 1").groupBy("sh", "salt").agg(F.min(F.struct("node", "n", "pos")).alias("x")).select("sh", "x.*")
     pairs = _neighbours(rows, ["sh", "salt"]).unionByName(_neighbours(heads, ["sh"]))
     first = _verified(pairs, docs, text_col, nodes)
@@ -232,9 +244,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     # what is left: rows of one shingle in different components
     label = rows.join(united.select(F.col("u").alias("node"), F.col("v").alias("label")), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    label = keep(label.select("sh", "node", "n", "pos", "label").distinct(), "near-labels")
+    label = keep(label.select("sh", "node", "n", "pos", "label").distinct(), "near-labels", large=True)
     mixed_groups = label.groupBy("sh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("sh")
-    left = keep(label.join(mixed_groups, "sh"), "near-left")
+    left = keep(label.join(mixed_groups, "sh"), "near-left", large=True)
     a, b = left.alias("a"), left.alias("b")
     smaller = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
     met = a.join(b, (F.col("a.sh") == F.col("b.sh")) & smaller & (F.col("a.label") != F.col("b.label")) & _passes(F.col("a.n"), F.col("a.pos"), F.col("b.n"), F.col("b.pos")))
