@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, keep
+from .common import documents, keep, thrifty
 
 ORDER = 4
 #: Spreads below and above the median that a document may lie.
@@ -31,7 +31,7 @@ ENOUGH, LEAST_SPREAD = 50, 0.02
 #: Rows of a model that executors hold at once, 16 bytes each.
 MODEL_ROWS = 4_000_000
 #: Characters that are worked on together.
-TOGETHER = 3_000_000
+TOGETHER = 1_000_000
 MICRO = 1_000_000
 SYMBOLS = "#*$%&|<>"
 FEW_WORDS, REPEATED = 20, 30
@@ -82,7 +82,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def _portions(batches, columns):
     """Lists of the columns' values, of some TOGETHER characters each; the last column is the text."""
-    for batch in batches:
+    for batch in thrifty(batches):
         rows = [batch.column(k).to_pylist() for k in columns]
         begin = total = 0
         for i, t in enumerate(rows[-1]):
@@ -127,6 +127,15 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
 # --- the model
 
+#: Rows of a table that is broadcast: one for each language.
+FEW = 10_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A kept table, marked to be broadcast if it has at most FEW rows; else it is joined as it is."""
+    df = keep(df, "quality-few")
+    return F.broadcast(df) if df.count() <= FEW else df
+
 
 def _discount(c: Column) -> Column:
     return F.when(c == 1, F.col("d1")).when(c == 2, F.col("d2")).otherwise(F.col("d3"))
@@ -152,7 +161,7 @@ def model(counts: DataFrame) -> DataFrame:
     zero = of[1].groupBy("lang").agg(F.lit(0).cast("bigint").alias("g"), (1.0 / (F.count("*") + 1)).alias("p"))
     tables, lower = [zero.select("lang", F.lit(0).alias("k"), "g", F.col("p"), F.lit(None).cast("double").alias("b"))], zero
     for k in range(1, ORDER + 1):
-        c = of[k].join(_discounts(of[k]), "lang").withColumn("h", F.shiftrightunsigned("g", 16)).withColumn("d", _discount(F.col("c")))
+        c = of[k].join(_few(_discounts(of[k])), "lang").withColumn("h", F.shiftrightunsigned("g", 16)).withColumn("d", _discount(F.col("c")))
         contexts = c.groupBy("lang", "h").agg(F.sum("c").alias("total"), F.sum("d").alias("kept")).select("lang", "h", "total", (F.col("kept") / F.col("total")).alias("b"))
         suffix = F.expr(f"g & {MASK[k - 1]}L") if k > 1 else F.lit(0).cast("bigint")
         p = c.withColumn("s", suffix).join(contexts, ["lang", "h"]).join(lower.select("lang", F.col("g").alias("s"), F.col("p").alias("q")), ["lang", "s"])
@@ -378,9 +387,10 @@ def judged(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col:
     measured = measured.withColumn("qu_base_failed", few | many).withColumn("qu_milli", F.round(-F.col("qu_log") / F.col("qu_chars") / (MICRO / 1000)).cast("int"))
     counted = measured.filter(~F.col("qu_base_failed"))
     middle = counted.groupBy("qu_lang").agg(F.percentile("qu_milli", F.lit(0.5)).alias("qu_middle"), F.count("*").alias("qu_docs"))
-    spread = counted.join(middle, "qu_lang").groupBy("qu_lang").agg(
+    spread = counted.join(_few(middle), "qu_lang").groupBy("qu_lang").agg(
         F.percentile(F.abs(F.col("qu_milli") - F.col("qu_middle")), F.lit(0.5)).alias("qu_mad"), F.first("qu_middle").alias("qu_middle"), F.first("qu_docs").alias("qu_docs")
     )
+    spread = _few(spread)
     s = F.greatest(F.col("qu_mad") * 1.4826 / 1000, F.lit(LEAST_SPREAD))
     band = spread.filter(F.col("qu_docs") >= ENOUGH).select("qu_lang", (F.col("qu_middle") / 1000 - lower * s).alias("qu_low"), (F.col("qu_middle") / 1000 + upper * s).alias("qu_high"))
     perplexity = F.col("qu_milli") / 1000
