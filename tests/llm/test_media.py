@@ -56,6 +56,14 @@ def test_fast_path_equals_the_general_one():
         webp.decode(webp.stream_of(media)[0][:-40])
 
 
+def test_repeating_tiles_are_stored_tightly():
+    texts = [b"again " * 3000, bytes(range(256)) * 60, b"again " * 2000 + RNG.integers(0, 256, 9000, dtype=np.uint8).tobytes(), b"ab" * 4000, b"seven! " * 2500 + b"x"]
+    data = [payload(x) for x in texts]
+    stored = store(data)
+    assert [x.tobytes() for x in load(stored)] == data
+    assert len(stored[0]) < len(data[0]) / 20 and len(stored[4]) < len(data[4]) / 20
+
+
 def test_other_files_are_read_too():
     p = picture(30, 64) | 0xFF000000
     media = b"".join(webp.file_of(webp.encode(p, **how)) for how in ({}, {"matches": True}, {"predictor": 5, "cached": 3}))

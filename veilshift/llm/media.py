@@ -21,6 +21,8 @@ from .common import documents
 WIDTH = 64
 ROW = 3 * WIDTH
 TILE = ROW * 64
+#: A tile whose first PEEK pixels have at most so many colours repeats itself.
+PEEK, COLOURS = 256, 40
 #: Bytes of payloads that are coded together.
 TOGETHER = 6_000_000
 
@@ -33,8 +35,24 @@ def payload(data: bytes) -> bytes:
 def store(payloads: list[bytes]) -> list[bytes]:
     """The media value of each payload (a positive multiple of ROW long)."""
     tiles = [[p[a : a + TILE] for a in range(0, len(p), TILE)] for p in payloads]
-    files = iter(webp.encode_literals([t for x in tiles for t in x], WIDTH))
-    return [b"".join(next(files) for _ in x) for x in tiles]
+    every = [t for x in tiles for t in x]
+    files = [tight(t) for t in every]
+    literal = iter(webp.encode_literals([t for t, f in zip(every, files, strict=True) if f is None], WIDTH))
+    done = iter([next(literal) if f is None else f for f in files])
+    return [b"".join(next(done) for _ in x) for x in tiles]
+
+
+def tight(tile: bytes) -> bytes | None:
+    """The file of a tile that repeats few pixels, with back-references and a palette, or a colour cache if its pixels
+    are too many for one; nothing for another tile, whose literals take less work and no more room."""
+    if len(tile) < 3 * PEEK:
+        return None
+    rgb = np.frombuffer(tile, np.uint8).reshape(-1, 3).astype(np.uint32)
+    pixels = rgb[:, 0] << 16 | rgb[:, 1] << 8 | rgb[:, 2] | 0xFF000000
+    if len(np.unique(pixels[:PEEK])) > COLOURS:
+        return None
+    few = len(np.unique(pixels)) <= 256
+    return webp.file_of(webp.encode(pixels.reshape(-1, WIDTH), palette=few, cached=0 if few else 6, matches=True))
 
 
 def load(media: list[bytes]) -> list[np.ndarray]:
