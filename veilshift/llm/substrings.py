@@ -1,6 +1,6 @@
 """Suffix-array dedup: remove every byte that a string of `length` bytes covers which also starts elsewhere.
 
-Candidates. Every string of `length` bytes has an anchor: the K-byte string of smallest hash inside it, the leftmost of
+Candidates. Every string of `length` bytes has an anchor: the string of _k(length) bytes of smallest hash inside it, the leftmost of
 equal ones. Equal strings have equal anchors at equal places, so only strings that share an anchor are compared. An
 occurrence of an anchor is a document of its own here: the bytes around it that its strings cover, aligned at the anchor.
 
@@ -26,17 +26,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, keep, width
+from .common import documents, keep, thrifty, width
 from .quality import _power, _prefix_hashes, mixed
 
 LENGTH = 400
-K = 32
+#: Bytes of an anchor, at most, and the part of `length` that it is at most. Short ones would repeat by chance.
+ANCHOR, PART = 96, 4
 #: Occurrences of an anchor that one block takes.
 LIMIT = 8192
 #: Anchors, or texts, that executors hold at once, 8 bytes each, to pick out what repeats; more are joined.
 HELD = 4_000_000
 #: Bytes that are worked on together.
-TOGETHER = 3_000_000
+TOGETHER = 1_000_000
 PLACE = np.uint64((1 << 28) - 1)
 
 _BYTES = mixed(np.arange(1, 257, dtype=np.uint64))
@@ -46,6 +47,10 @@ def _hash(data: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(data, digest_size=8).digest(), "little", signed=True)
 
 
+def _k(length: int) -> int:
+    return max(1, min(ANCHOR, length // PART))
+
+
 def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     """The least of each w values in a row."""
     n = len(x)
@@ -60,9 +65,10 @@ def anchors(data: bytes, length: int = LENGTH):
     n = len(data)
     if n < length:
         return tuple(np.zeros(0, np.int64) for _ in range(4))
+    k = _k(length)
     sums = _prefix_hashes(_BYTES[np.frombuffer(data, np.uint8)])
-    h = mixed((sums[K:] - sums[:-K]) * _power(n + 1)[1][: n - K + 1])
-    at = (sliding_least(h & ~PLACE | np.arange(len(h), dtype=np.uint64), length - K + 1) & PLACE).astype(np.int64)
+    h = mixed((sums[k:] - sums[:-k]) * _power(n + 1)[1][: n - k + 1])
+    at = (sliding_least(h & ~PLACE | np.arange(len(h), dtype=np.uint64), length - k + 1) & PLACE).astype(np.int64)
     begin = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
     end = np.append(begin[1:], len(at)) - 1
     p = at[begin]
@@ -72,7 +78,7 @@ def anchors(data: bytes, length: int = LENGTH):
 def _texts(batches, text_at: int = 0):
     """Portions of distinct texts as bytes: each text once for a task, as far as its memory of them reaches."""
     seen: set[int] = set()
-    for batch in batches:
+    for batch in thrifty(batches):
         out, total = [], 0
         for x in batch.column(text_at).to_pylist():
             x = x or b""
@@ -104,51 +110,85 @@ def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
 
 
-OCCURRENCE = "key bigint, t bigint, p bigint, lo int, hi int"
+#: A context: an anchor's key, the distances of its strings, and the bytes that they cover; sub is a hash of all that.
+CONTEXT = "key bigint, lo int, hi int, x binary, sub bigint"
+#: A context in a text, and where its anchor stands there.
+OCCURRENCE = f"{CONTEXT}, t bigint, ps array<bigint>, n bigint"
+
+
+def _sub(key: int, lo: int, hi: int, x: bytes) -> int:
+    return _hash(b"%d %d %d " % (key, lo, hi) + x)
 
 
-def _occurrences(rows: DataFrame, length: int, held=None, with_bytes: bool = False) -> DataFrame:
-    """OCCURRENCE of every anchor, or of those that are held; with_bytes: and the bytes that its strings cover, x."""
+def _counted(rows: DataFrame, length: int) -> DataFrame:
+    """key, c: how often each anchor occurs."""
 
     def run(batches):
-        names = ["key", "t", "p", "lo", "hi"]
         for texts in _texts(batches):
-            cols: list[list] = [[] for _ in range(5)]
-            found = []
-            for t, data in texts:
-                key, p, lo, hi = anchors(data, length)
-                if held is not None:
-                    of = _among(key, held.value)
-                    key, p, lo, hi = key[of], p[of], lo[of], hi[of]
-                for c, v in zip(cols, (key, np.full(len(key), t), p, lo, hi), strict=True):
-                    c.append(v)
-                if with_bytes:
-                    found += [data[a:b] for a, b in zip((p - hi).tolist(), (p - lo + length).tolist(), strict=True)]
-            c = [np.concatenate(x) for x in cols]
-            arrays = [*[pa.array(x) for x in c[:3]], pa.array(c[3].astype(np.int32)), pa.array(c[4].astype(np.int32))]
-            if with_bytes:
-                yield from _slices(pa.RecordBatch.from_arrays([*arrays, pa.array(found, pa.binary())], [*names, "x"]))
-            elif len(c[0]):
-                yield pa.RecordBatch.from_arrays(arrays, names)
+            keys = np.concatenate([anchors(x, length)[0] for _, x in texts])
+            keys, c = np.unique(keys, return_counts=True)
+            if len(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], ["key", "c"])
 
-    return rows.mapInArrow(run, OCCURRENCE + (", x binary" if with_bytes else ""))
+    return rows.mapInArrow(run, "key bigint, c bigint").groupBy("key").agg(F.sum("c").alias("c"))
 
 
-def _slices(batch: pa.RecordBatch, n: int = 5000):
-    for a in range(0, batch.num_rows, n):
-        yield batch.slice(a, n)
+def _batch_of(found: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64())
+    names = ["key", "lo", "hi", "x", "sub", "t", "ps", "n"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names)
 
 
-def _cut_out(rows: DataFrame, places: DataFrame, length: int) -> DataFrame:
-    """The bytes of these occurrences when there are too many to hold: texts meet them by hash."""
+def _contexts_of(t: int, data: bytes, length: int, held=None) -> list[tuple]:
+    """OCCURRENCE of each different context of a text; a periodic text has few, though many anchors."""
+    key, p, lo, hi = anchors(data, length)
+    if held is not None:
+        of = _among(key, held)
+        key, p, lo, hi = key[of], p[of], lo[of], hi[of]
+    at: dict[tuple, list[int]] = {}
+    for k, q, a, b in zip(key.tolist(), p.tolist(), lo.tolist(), hi.tolist(), strict=True):
+        at.setdefault((k, a, b, data[q - b : q - a + length]), []).append(q)
+    return [(*c, _sub(*c), t, ps, len(ps)) for c, ps in at.items()]
+
+
+def _occurrences(rows: DataFrame, length: int, held) -> DataFrame:
+    """OCCURRENCE of the anchors that are held."""
 
     def run(batches):
+        for texts in _texts(batches):
+            found = []
+            for t, data in texts:
+                found += _contexts_of(t, data, length, held.value)
+                if len(found) > 5000:
+                    yield _batch_of(found)
+                    found = []
+            if found:
+                yield _batch_of(found)
+
+    return rows.mapInArrow(run, OCCURRENCE)
+
+
+def _cut_out(rows: DataFrame, twice: DataFrame, length: int) -> DataFrame:
+    """OCCURRENCE when there are too many anchors to hold: the texts with some meet those by hash."""
+
+    def name(batches):
+        for texts in _texts(batches):
+            keys = [np.unique(anchors(x, length)[0]) for _, x in texts]
+            t = np.repeat(np.array([t for t, _ in texts], np.int64), [len(k) for k in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(t)], ["key", "t"])
+
+    def data(batches):
         for texts in _texts(batches):
             yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in texts], pa.int64()), pa.array([x for _, x in texts], pa.binary())], ["t", "data"])
 
-    data = rows.mapInArrow(run, "t bigint, data binary").groupBy("t").agg(F.first("data").alias("data"))
-    met = places.distinct().join(data, "t")
-    return met.select("key", "t", "p", "lo", "hi", F.substring("data", (F.col("p") - F.col("hi") + 1).cast("int"), (F.col("hi") - F.col("lo") + length).cast("int")).alias("x"))
+    def cut(batches):
+        for batch in thrifty(batches):
+            for t, x, keys in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                yield _batch_of(_contexts_of(t, x, length, np.sort(np.array(keys, np.int64))))
+
+    of_text = rows.mapInArrow(name, "key bigint, t bigint").distinct().join(twice.select("key"), "key", "left_semi").groupBy("t").agg(F.collect_list("key").alias("keys"))
+    whole = rows.mapInArrow(data, "t bigint, data binary").groupBy("t").agg(F.first("data").alias("data"))
+    return whole.join(of_text, "t").select("t", "data", "keys").mapInArrow(cut, OCCURRENCE)
 
 
 # --- construction
@@ -190,25 +230,22 @@ def repeated(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: list[bytes
     return flags & (distance >= lo[:, None]) & (distance <= hi[:, None])
 
 
-def _built(rows: DataFrame, length: int) -> DataFrame:
-    """t, a, b: runs of starts of repeated strings, from OCCURRENCE and x."""
+def _built(contexts: DataFrame, length: int) -> DataFrame:
+    """sub, a, b: runs of distances of repeated strings, from contexts in blocks of whole groups."""
 
     def block(held):
-        key, t, p = (np.array([r[k] for r in held], np.int64) for k in range(3))
-        lo, hi = (np.array([r[k] for r in held], np.int64) for k in (3, 4))
-        flags = repeated(np.cumsum(np.append(0, key[1:] != key[:-1])), lo, hi, [r[5] for r in held], length)
+        key, lo, hi = (np.array([r[k] for r in held], np.int64) for k in range(3))
+        flags = repeated(np.cumsum(np.append(0, key[1:] != key[:-1])), lo, hi, [r[3] for r in held], length)
         edges = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
         row, first = np.nonzero(edges == 1)
         last = np.nonzero(edges == -1)[1] - 1
-        near = int(lo.min())
-        return pa.RecordBatch.from_arrays([pa.array(t[row]), pa.array(p[row] - (near + last)), pa.array(p[row] - (near + first))], ["t", "a", "b"])
+        near, sub = int(lo.min()), np.array([r[4] for r in held], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(sub[row]), pa.array((near + first).astype(np.int32)), pa.array((near + last).astype(np.int32))], ["sub", "a", "b"])
 
     def run(batches):
         held: list = []
-        for batch in batches:
-            for r in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
-                if held and r[:3] == held[-1][:3]:
-                    continue  # the same occurrence from two tasks
+        for batch in thrifty(batches):
+            for r in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 if len(held) >= LIMIT and r[0] != held[-1][0]:
                     yield block(held)
                     held = []
@@ -216,72 +253,76 @@ def _built(rows: DataFrame, length: int) -> DataFrame:
         if held:
             yield block(held)
 
-    dealt = rows.repartition(max(12, 2 * width(rows.sparkSession)), "key").sortWithinPartitions("key", "t", "p")
-    return dealt.select("key", "t", "p", "lo", "hi", "x").mapInArrow(run, "t bigint, a bigint, b bigint")
+    dealt = contexts.repartition(max(12, 2 * width(contexts.sparkSession)), "key").sortWithinPartitions("key", "sub")
+    return dealt.select("key", "lo", "hi", "x", "sub").mapInArrow(run, "sub bigint, a int, b int")
 
 
 def _halves(length: int, level: int) -> list[tuple[int, int]]:
-    """The distances 0 to length - K, halved so many times."""
-    parts = [(0, length - K)]
+    """The distances from 0 on that an anchor can have, halved so many times."""
+    parts = [(0, length - _k(length))]
     for _ in range(level):
         parts = [x for a, b in parts for x in ([(a, (a + b) // 2), ((a + b) // 2 + 1, b)] if a < b else [(a, b)])]
     return parts
 
 
-def _split(rows: DataFrame, length: int, level: int) -> DataFrame:
-    """Occurrences keyed anew, by parts of their distances and the bytes that all strings of a part contain."""
+def _split(contexts: DataFrame, length: int, level: int) -> DataFrame:
+    """CONTEXT and `of`, the context that it is a part of: keyed anew by parts of the distances and the bytes that all
+    strings of a part contain."""
     parts = _halves(length, level)
 
     def run(batches):
-        for batch in batches:
+        for batch in thrifty(batches):
             out = []
-            for key, t, p, lo, hi, x in zip(*(batch.column(k).to_pylist() for k in range(6)), strict=True):
+            for key, lo, hi, x, sub in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
                 for a, b in parts:
                     if a <= hi and b >= lo:
-                        core = x[hi - a : hi - b + length]
-                        out.append((_hash(b"%d %d %d " % (key, level, a) + core), t, p, max(a, lo), min(b, hi), x[hi - min(b, hi) : hi - max(a, lo) + length]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            yield from _slices(pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "t", "p", "lo", "hi", "x"]))
+                        core = _hash(b"%d %d %d " % (key, level, a) + x[hi - a : hi - b + length])
+                        near, far = max(a, lo), min(b, hi)
+                        part = x[hi - far : hi - near + length]
+                        out.append((core, near, far, part, _sub(core, near, far, part), sub))
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
+            whole = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "lo", "hi", "x", "sub", "of"])
+            for k in range(0, whole.num_rows, 5000):
+                yield whole.slice(k, 5000)
+
+    return contexts.select("key", "lo", "hi", "x", "sub").mapInArrow(run, f"{CONTEXT}, of bigint")
+
 
-    return rows.select("key", "t", "p", "lo", "hi", "x").mapInArrow(run, f"{OCCURRENCE}, x binary")
+def _resolved(rows: DataFrame, length: int, level: int = 0) -> DataFrame:
+    """rows: CONTEXT and n. Returns sub, a, b: runs of distances at which a context's strings are repeated.
+
+    A context that occurs twice is repeated at all of its distances, and one of it is enough to compare others with.
+    """
+    first = {c: F.first(c).alias(c) for c in ("key", "lo", "hi", "x")}
+    contexts = keep(rows.groupBy("sub").agg(*first.values(), F.sum("n").alias("n")), "contexts", large=True)
+    found = contexts.filter("n > 1").select("sub", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    sizes = keep(contexts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "contexts-sizes")
+    ready = contexts.join(sizes.filter(F.col("c") <= LIMIT).select("key"), "key", "left_semi")
+    found = found.unionByName(keep(_built(ready, length), "distances", large=True))
+    hot = sizes.filter(F.col("c") > LIMIT).select("key")
+    if not hot.limit(1).count():
+        return found
+    parts = keep(_split(contexts.join(hot, "key", "left_semi"), length, level + 1), "contexts-parts", large=True)
+    deeper = _resolved(parts.withColumn("n", F.lit(1).cast("bigint")), length, level + 1)
+    return found.unionByName(keep(parts.select("sub", "of").join(deeper, "sub").select(F.col("of").alias("sub"), "a", "b"), "distances"))
 
 
 def repeated_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """rows: one binary column of texts. Returns t (hash of a text), a, b: runs of starts of strings of `length` bytes
-    that also start elsewhere in different texts, or elsewhere in the same one."""
-    places = keep(_occurrences(rows, length), "anchors")
-    twice = keep(places.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "anchors-twice")
+    """rows: one binary column of texts. Returns t (hash of a text), ps, a, b: strings of `length` bytes that start a to
+    b bytes before the places ps also start elsewhere, in another text or the same one."""
+    twice = keep(_counted(rows, length).filter("c > 1"), "anchors-twice")
     held = _held(twice, "key")
-    if held is not None:
-        todo = _occurrences(rows, length, held, with_bytes=True)
-    else:
-        todo = _cut_out(rows, places.join(twice, "key", "left_semi"), length)
-    todo = keep(todo, "occurrences")
-    out, level = None, 0
-    while True:
-        last = level and all(a == b for a, b in _halves(length, level))
-        if last:
-            once = todo.select("key", "t", "p", "lo").distinct()
-            found = once.join(once.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "key", "left_semi")
-            runs = found.select("t", (F.col("p") - F.col("lo")).alias("a"), (F.col("p") - F.col("lo")).alias("b"))
-            return out.unionByName(runs)
-        sizes = keep(todo.groupBy("key").agg(F.count("*").alias("c")), "anchors-sizes")
-        hot = sizes.filter(F.col("c") > LIMIT)
-        some = hot.limit(1).count() > 0
-        ready = todo.join(sizes.filter((F.col("c") > 1) & (F.col("c") <= LIMIT)).select("key"), "key", "left_semi") if some or level else todo
-        runs = keep(_built(ready, length), "starts")
-        out = runs if out is None else out.unionByName(runs)
-        if not some:
-            return out
-        level += 1
-        todo = keep(_split(todo.join(hot.select("key"), "key", "left_semi"), length, level), "occurrences")
+    found = keep(_occurrences(rows, length, held) if held is not None else _cut_out(rows, twice, length), "occurrences")
+    distances = _resolved(found.select("key", "lo", "hi", "x", "sub", "n"), length)
+    return found.select("sub", "t", "ps").join(distances, "sub").select("t", "ps", "a", "b")
 
 
 # --- documents
 
 
-def merged(runs, length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes that strings of `length` from these runs of starts cover."""
+def merged(found, length: int) -> list[tuple[int, int]]:
+    """Maximal runs of bytes that strings of `length` cover which start a to b bytes before places; found: (places, a, b)."""
+    runs = ((p - b, p - a) for places, a, b in found for p in places)
     out: list[list[int]] = []
     for a, b in sorted(runs):
         if out and a <= out[-1][1]:
@@ -305,7 +346,7 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     kind = rows.schema["ss_id"].dataType.simpleString()
 
     def name(batches):
-        for batch in batches:
+        for batch in thrifty(batches):
             data = batch.column(1).to_pylist()
             cols = [pa.array([_hash(x) for x in data], pa.int64()), pa.array([len(x) for x in data], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in data], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["ss_id", "t", "n", "sha"])
@@ -314,8 +355,9 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
     copied = named.filter(F.col("n") >= length).groupBy("t").agg(F.count("*").alias("c"), F.first("n").alias("n")).filter("c > 1")
     nothing = hashlib.sha256(b"").hexdigest()
     whole = keep(copied.select("t", F.col("n").alias("n_removed"), F.lit(1).cast("bigint").alias("n_spans"), F.lit(nothing).alias("kept_sha256"), F.array(F.struct(F.lit(0).cast("bigint").alias("a"), F.col("n").alias("b"))).alias("spans")), "texts-copied")
-    runs = repeated_starts(texts, length).groupBy("t").agg(F.collect_list(F.struct("a", "b")).alias("runs"))  # of one text
-    runs = keep(runs.join(whole.select("t"), "t", "left_anti"), "texts-runs")
+    starts = repeated_starts(texts, length).join(whole.select("t"), "t", "left_anti")
+    runs = starts.groupBy("t").agg(F.collect_list(F.struct("ps", "a", "b")).alias("runs"))  # of one text
+    runs = keep(runs, "texts-runs", large=True)
     held = _held(runs.select("t"), "t")
 
     def pick(batches):
@@ -327,10 +369,10 @@ def removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", len
                 yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in some], pa.int64()), pa.array([x for _, x in some], pa.binary())], ["t", "x"])
 
     def cut(batches):
-        for batch in batches:
+        for batch in thrifty(batches):
             cols: list[list] = [[] for _ in range(4)]
             for x, r in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                spans = merged([(y["a"], y["b"]) for y in r], length)
+                spans = merged([(y["ps"], y["a"], y["b"]) for y in r], length)
                 kept, at = hashlib.sha256(), 0
                 for a, b in [*spans, (len(x), len(x))]:
                     kept.update(x[at:a])
