@@ -110,3 +110,18 @@ def test_both_ways_agree_and_bands_reject(spark):
     assert Q.good_documents(rows.limit(0)).count() == 0
     kept_rows = Q.good_documents(rows)
     assert kept_rows.columns == rows.columns and kept_rows.count() == len(kept)
+
+
+def test_word_salad_goes_and_prose_stays(spark):
+    random.seed(6)
+    parts = ["an", "re", "tion", "th", "er", "ou", "in", "ed", "nd", "es", "ing", "ha"]
+    made = lambda: "".join(random.choice(parts) for _ in range(random.randint(2, 4)))
+    word = lambda: random.choice(["the", "of", "and", "to", "in"]) if random.random() < 0.5 else made()
+    good = [" ".join(word() for _ in range(150)) for _ in range(200)]
+    symbols = [" ".join(word() + random.choice(["###", "%%%", "&&&", "$$$"]) for _ in range(150)) for _ in range(4)]
+    got = {r.doc_id: r for r in Q.judged(table(spark, good + symbols), ["doc_id"]).collect()}
+    assert not any(r.qu_base_failed for r in got.values())
+    assert all(got[i].qu_kept for i in range(200)) and not any(got[i].qu_kept for i in range(200, 204))
+    counts = Counter(w for t in good + symbols for w in t.split())
+    want = -sum(math.log(counts[w] / sum(counts.values())) for w in good[0].split()) / 150
+    assert got[0].qu_word_perplexity == pytest.approx(want, abs=1e-3)

@@ -7,8 +7,11 @@ them as whole micronats, so sums don't depend on their order. A document's log p
 language's band: so many spreads (scaled median absolute deviations) below and above the median of all documents, and
 for a short text a little more.
 
+Characters hardly tell word salad from prose, so words are counted over the corpus too, one table for each language,
+and a document's log perplexity a word has a band of its own. A document goes if it lies outside either.
+
 While the arrays fit MODEL_ROWS, each executor gets them; a larger model stays a table, and each document's 4-grams
-are joined with it. Both ways give the same sums.
+(or words) are joined with it. Both ways give the same sums.
 """
 
 from __future__ import annotations
@@ -24,11 +27,13 @@ from .common import documents, keep, thrifty
 ORDER = 4
 #: Spreads below and above the median that a document may lie.
 LOWER, UPPER = 7.0, 7.0
-#: A text of n characters may lie off by this over the square root of n more: means of short texts vary so.
+#: The same for words: lists of rare words without function words lie a few spreads low, salad of symbols many high.
+WORD_LOWER, WORD_UPPER = 3.0, 5.0
+#: A text of n characters (or words) may lie off by this over the square root of n more: means of short texts vary so.
 SAMPLING = 2.0
 #: Documents that a language needs for a band, and the least spread in nats.
 ENOUGH, LEAST_SPREAD = 50, 0.02
-#: Rows of a model that executors hold at once, 16 bytes each.
+#: Rows of a model (of characters, or of words) that executors hold at once, 16 bytes each.
 MODEL_ROWS = 4_000_000
 #: Characters that are worked on together.
 TOGETHER = 1_000_000
@@ -94,6 +99,16 @@ def _portions(batches, columns):
 
 def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
     """lang, g, c: how often each 4-gram occurs in all texts of a language; null language: ''."""
+    return _counted(docs, lang_col, text_col, lambda texts: grams(*points(texts))[0])
+
+
+def count_words(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """lang, g, c: how often each word, by its hash, occurs in all texts of a language; null language: ''."""
+    return _counted(docs, lang_col, text_col, lambda texts: word_hashes(*points(texts))[1])
+
+
+def _counted(docs: DataFrame, lang_col: str, text_col: str, hashes) -> DataFrame:
+    """lang, g, c of what hashes gives for texts: counted in each task first."""
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
 
     def merge(parts):
@@ -111,8 +126,7 @@ def count_grams(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
         held: dict[str, list] = {}
         for _, (langs, texts) in _portions(batches, (0, 1)):
             for lang in sorted(set(langs)):
-                g, _ = grams(*points([t for x, t in zip(langs, texts, strict=True) if x == lang]))
-                g = np.sort(g)
+                g = np.sort(hashes([t for x, t in zip(langs, texts, strict=True) if x == lang]))
                 starts = np.nonzero(np.append(True, g[1:] != g[:-1]))[0]
                 held.setdefault(lang, []).append((g[starts], np.diff(np.append(starts, len(g)))))
                 if sum(len(x[0]) for x in held[lang]) > 4_000_000:
@@ -240,6 +254,45 @@ def _arrays(rows: DataFrame) -> dict[str, Arrays]:
     return {n: Arrays({o: (g[m], lp[m], lb[m]) for o in range(ORDER + 1) for m in [(codes == i) & (k == o)]}) for i, n in enumerate(names)}
 
 
+# --- words
+
+
+def word_model(counts: DataFrame) -> DataFrame:
+    """lang, g, lp: micronats of the probability of each word that occurs twice or more, by its hash; g null: of those
+    that occur once, which have no rows of their own."""
+    total = _few(counts.groupBy("lang").agg(F.sum("c").alias("total")))
+    lp = F.round(F.log(F.col("c") / F.col("total")) * MICRO).cast("int").alias("lp")
+    once = total.select("lang", F.lit(None).cast("bigint").alias("g"), F.lit(1).alias("c"), "total")
+    return counts.filter("c > 1").join(total, "lang").select("lang", "g", "c", "total").unionByName(once).select("lang", "g", lp)
+
+
+class Words:
+    """The words of one language in the order of their hashes."""
+
+    def __init__(self, g: np.ndarray, lp: np.ndarray, once: int):
+        h = g.astype(np.int64).view(np.uint64)
+        order = np.argsort(h)
+        self.h, self.lp, self.once = h[order], lp[order].astype(np.int32), once
+
+    def log(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), self.once, np.int64)
+        if len(self.h) and len(h):
+            u, back = np.unique(h, return_inverse=True)  # in order, so that the search stays in the cache
+            at = np.minimum(np.searchsorted(self.h, u), len(self.h) - 1)
+            out = np.where(self.h[at] == u, self.lp[at], self.once).astype(np.int64)[back]
+        return out
+
+
+def _words(rows: DataFrame) -> dict[str, Words]:
+    t = rows.toArrow()
+    if not t.num_rows:
+        return {}
+    lang = t["lang"].combine_chunks().dictionary_encode()
+    names, codes, lp = lang.dictionary.to_pylist(), lang.indices.to_numpy(), t["lp"].to_numpy()
+    none, g = t["g"].is_null().to_numpy(), t["g"].fill_null(0).to_numpy()
+    return {n: Words(g[m & ~none], lp[m & ~none], int(lp[m & none][0])) for i, n in enumerate(names) for m in [codes == i]}
+
+
 # --- base counts
 
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -265,15 +318,25 @@ def _is_space(chars: np.ndarray) -> np.ndarray:
     return (chars == 32) | ((chars >= 9) & (chars <= 13))
 
 
-def base_counts(texts: list[str], chars: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
-    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
-    per = lambda flags: np.diff(np.append(0, np.cumsum(flags))[bounds])
+def word_hashes(chars: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which characters begin a word, and a hash of each word, in order."""
     word = ~_is_space(chars)
     begins = word.copy()
     if len(chars):
         begins[1:] &= ~word[:-1]
         inner = bounds[1:-1][bounds[1:-1] < len(chars)]
         begins[inner] = word[inner]
+    start = np.nonzero(begins)[0]
+    sums = _prefix_hashes(np.where(word, mixed(chars.astype(np.uint64) + np.uint64(1)), np.uint64(0)))
+    # spaces add nothing, so a word's hash may run to the next word
+    return begins, mixed((sums[np.append(start[1:], len(chars))] - sums[start]) * _power(len(chars) + 1)[1][start]) if len(start) else np.zeros(0, np.uint64)
+
+
+def base_counts(texts: list[str], chars: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each text."""
+    per = lambda flags: np.diff(np.append(0, np.cumsum(flags))[bounds])
+    begins, hashes = word_hashes(chars, bounds)
+    word = ~_is_space(chars)
     low = np.zeros(128, bool)
     low[[ord(c) for c in SYMBOLS]] = True
     out = {"n_words": per(begins), "word_chars": per(word), "n_symbols": per(low[np.minimum(chars, 127)] & (chars < 128))}
@@ -281,14 +344,10 @@ def base_counts(texts: list[str], chars: np.ndarray, bounds: np.ndarray) -> dict
     lines = [[x for x in t.split("\n") if x.strip(strip)] for t in texts]
     out["n_dup_lines"] = np.array([len(x) - len(set(x)) for x in lines], np.int64)
 
-    start = np.nonzero(begins)[0]
-    sums = _prefix_hashes(np.where(word, mixed(chars.astype(np.uint64) + np.uint64(1)), np.uint64(0)))
-    # spaces add nothing, so a word's hash may run to the next word
-    hashes = mixed((sums[np.append(start[1:], len(chars))] - sums[start]) * _power(len(chars) + 1)[1][start]) if len(start) else np.zeros(0, np.uint64)
     first = np.append(0, np.cumsum(out["n_words"]))
     doc = np.repeat(np.arange(len(texts)), out["n_words"])
-    n = len(start) - WINDOW + 1
-    repeat = np.zeros(len(start), bool)
+    n = len(hashes) - WINDOW + 1
+    repeat = np.zeros(len(hashes), bool)
     if n > 0:
         sums = _prefix_hashes(hashes)
         windows = (sums[WINDOW : WINDOW + n] - sums[:n]) * _power(n)[1][:n] + mixed(doc[:n].astype(np.uint64) + np.uint64(7))
@@ -300,7 +359,7 @@ def base_counts(texts: list[str], chars: np.ndarray, bounds: np.ndarray) -> dict
         twice = np.zeros(len(order), bool)
         twice[order[1:][same]] = True
         twice[order[:-1][same]] = True
-        edges = np.zeros(len(start) + 1, np.int64)
+        edges = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(edges, whole[twice], 1)
         np.add.at(edges, whole[twice] + WINDOW, -1)
         repeat = np.cumsum(edges[:-1]) > 0
@@ -313,29 +372,35 @@ def base_counts(texts: list[str], chars: np.ndarray, bounds: np.ndarray) -> dict
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _measured(rows: DataFrame, carry: list[str], shared) -> DataFrame:
-    """rows: the columns of carry, qu_lang, qu_text. Adds COUNTS, qu_chars (log probabilities summed) and qu_log."""
-    names = [*carry, "qu_lang", *[f"qu_{c}" for c in COUNTS], "qu_chars", "qu_log"]
+def _measured(rows: DataFrame, carry: list[str], grams_shared, words_shared) -> DataFrame:
+    """rows: the columns of carry, qu_lang, qu_text. Adds COUNTS, qu_chars (log probabilities summed), qu_log and
+    qu_word_log; the logs are 0 for what isn't shared."""
+    names = [*carry, "qu_lang", *[f"qu_{c}" for c in COUNTS], "qu_chars", "qu_log", "qu_word_log"]
     n = len(carry)
 
     def run(batches):
-        held = shared.value if shared is not None else {}
+        held = grams_shared.value if grams_shared is not None else None
+        words = words_shared.value if words_shared is not None else None
         nothing = Arrays({})
         for part, (langs, texts) in _portions(batches, (n, n + 1)):
             texts = [t or "" for t in texts]
             chars, bounds = points(texts)
             counts = base_counts(texts, chars, bounds)
-            logs = np.zeros(len(texts), np.int64)
-            if shared is not None:
-                for lang in sorted(set(langs)):
-                    which = np.array([i for i, x in enumerate(langs) if x == lang])
-                    g, at = grams(*points([texts[i] for i in which]))
+            logs, word_logs = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+            for lang in sorted(set(langs)) if held is not None or words is not None else ():
+                which = np.array([i for i, x in enumerate(langs) if x == lang])
+                c, b = points([texts[i] for i in which])
+                if held is not None:
+                    g, at = grams(c, b)
                     logs[which] = np.diff(np.append(0, np.cumsum(held.get(lang, nothing).log(g)))[at])
+                if words is not None and lang in words:
+                    at = np.append(0, np.cumsum(counts["n_words"][which]))
+                    word_logs[which] = np.diff(np.append(0, np.cumsum(words[lang].log(word_hashes(c, b)[1])))[at])
             cols = [part.column(i) for i in range(n + 1)]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(counts[c]) for c in COUNTS], pa.array(np.diff(bounds) + 1), pa.array(logs)], names)
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(counts[c]) for c in COUNTS], pa.array(np.diff(bounds) + 1), pa.array(logs), pa.array(word_logs)], names)
 
     kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
-    return rows.mapInArrow(run, f"{kinds}qu_lang string, {', '.join(f'qu_{c} bigint' for c in COUNTS)}, qu_chars bigint, qu_log bigint")
+    return rows.mapInArrow(run, f"{kinds}qu_lang string, {', '.join(f'qu_{c} bigint' for c in COUNTS)}, qu_chars bigint, qu_log bigint, qu_word_log bigint")
 
 
 def _joined_logs(rows: DataFrame, m: DataFrame) -> DataFrame:
@@ -363,9 +428,25 @@ def _joined_logs(rows: DataFrame, m: DataFrame) -> DataFrame:
     return done.groupBy("qu_row").agg(F.sum("lg").alias("qu_log"))
 
 
-def judged(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", model_rows: int = MODEL_ROWS, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
+def _joined_word_logs(rows: DataFrame, words: DataFrame) -> DataFrame:
+    """qu_row, qu_word_log by a join of each row's words, counted, with the table; rows without words are left out."""
+
+    def run(batches):
+        for _, (ids, langs, texts) in _portions(batches, (0, 1, 2)):
+            for i, lang, t in zip(ids, langs, texts, strict=True):
+                g, c = np.unique(word_hashes(*points([t or ""]))[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i, np.int64)), pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["qu_row", "lang", "g", "n"])
+
+    each = rows.select("qu_row", "qu_lang", "qu_text").mapInArrow(run, "qu_row bigint, lang string, g bigint, n bigint")
+    once = _few(words.filter("g is null").select("lang", F.col("lp").alias("once")))
+    p = each.join(words.filter("g is not null"), ["lang", "g"], "left").join(once, "lang", "left")
+    return p.groupBy("qu_row").agg(F.sum(F.col("n") * F.coalesce("lp", "once")).alias("qu_word_log"))
+
+
+def judged(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", model_rows: int = MODEL_ROWS, lower: float = LOWER, upper: float = UPPER, word_lower: float = WORD_LOWER, word_upper: float = WORD_UPPER) -> DataFrame:
     """A row for each row of docs: the columns of carry, qu_n_words and the other base counts, qu_base_failed,
-    qu_log_perplexity (nats a character), qu_low and qu_high (its language's band) and qu_kept.
+    qu_log_perplexity (nats a character), qu_low and qu_high (its language's band), qu_word_perplexity (nats a word, null
+    without words), qu_word_low and qu_word_high, and qu_kept.
 
     Null text: as the empty one, no words. Null language: a language of its own. A language with under ENOUGH documents
     that pass the base rules has no band, and its documents are kept. Repeated rows count and are judged alike. No rows:
@@ -376,28 +457,42 @@ def judged(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col:
     spark = docs.sparkSession
     m = keep(model(keep(count_grams(docs, lang_col, text_col), "quality-4")), "quality-model")
     rows = docs.select(*[F.col(c) for c in carry], F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("qu_lang"), F.col(text_col).cast("string").alias("qu_text"))
-    if m.count() <= model_rows:
-        measured = keep(_measured(rows, carry, spark.sparkContext.broadcast(_arrays(m))), "quality")
+    words = keep(word_model(keep(count_words(docs, lang_col, text_col), "quality-words")), "quality-word-model")
+    held = spark.sparkContext.broadcast(_arrays(m)) if m.count() <= model_rows else None
+    held_words = spark.sparkContext.broadcast(_words(words)) if words.count() <= model_rows else None
+    if held is not None and held_words is not None:
+        measured = keep(_measured(rows, carry, held, held_words), "quality")
     else:
         numbered = keep(rows.withColumn("qu_row", F.monotonically_increasing_id()), "quality-rows")
-        counts = _measured(numbered.select(*carry, "qu_row", "qu_lang", "qu_text"), [*carry, "qu_row"], None).drop("qu_log")
-        measured = keep(counts.join(_joined_logs(numbered, m), "qu_row").drop("qu_row"), "quality")
+        measured = _measured(numbered.select(*carry, "qu_row", "qu_lang", "qu_text"), [*carry, "qu_row"], held, held_words)
+        if held is None:
+            measured = measured.drop("qu_log").join(_joined_logs(numbered, m), "qu_row")
+        if held_words is None:
+            measured = measured.drop("qu_word_log").join(_joined_word_logs(numbered, words), "qu_row", "left")
+        measured = keep(measured.drop("qu_row"), "quality")
     few, many = F.col("qu_n_words") < FEW_WORDS, 100 * F.col("qu_n_repeat_words") > REPEATED * F.col("qu_n_words")
     # whole thousandths: the values of a language stay few, so its exact percentiles are a small aggregate
-    measured = measured.withColumn("qu_base_failed", few | many).withColumn("qu_milli", F.round(-F.col("qu_log") / F.col("qu_chars") / (MICRO / 1000)).cast("int"))
+    milli = lambda log, n: F.round(F.try_divide(-F.col(log), F.col(n)) / (MICRO / 1000)).cast("int")
+    measured = measured.withColumns({"qu_base_failed": few | many, "qu_milli": milli("qu_log", "qu_chars"), "qu_word_milli": milli("qu_word_log", "qu_n_words")})
     counted = measured.filter(~F.col("qu_base_failed"))
-    middle = counted.groupBy("qu_lang").agg(F.percentile("qu_milli", F.lit(0.5)).alias("qu_middle"), F.count("*").alias("qu_docs"))
+    both = ("qu_", "qu_word_")
+    middle = counted.groupBy("qu_lang").agg(*[F.percentile(f"{p}milli", F.lit(0.5)).alias(f"{p}middle") for p in both], F.count("*").alias("qu_docs"))
     spread = counted.join(_few(middle), "qu_lang").groupBy("qu_lang").agg(
-        F.percentile(F.abs(F.col("qu_milli") - F.col("qu_middle")), F.lit(0.5)).alias("qu_mad"), F.first("qu_middle").alias("qu_middle"), F.first("qu_docs").alias("qu_docs")
+        *[F.percentile(F.abs(F.col(f"{p}milli") - F.col(f"{p}middle")), F.lit(0.5)).alias(f"{p}mad") for p in both], *[F.first(c).alias(c) for c in ("qu_middle", "qu_word_middle", "qu_docs")]
     )
     spread = _few(spread)
-    s = F.greatest(F.col("qu_mad") * 1.4826 / 1000, F.lit(LEAST_SPREAD))
-    band = spread.filter(F.col("qu_docs") >= ENOUGH).select("qu_lang", (F.col("qu_middle") / 1000 - lower * s).alias("qu_low"), (F.col("qu_middle") / 1000 + upper * s).alias("qu_high"))
-    perplexity = F.col("qu_milli") / 1000
-    slack = SAMPLING / F.sqrt("qu_chars")
-    inside = F.coalesce(perplexity.between(F.col("qu_low") - slack, F.col("qu_high") + slack), F.lit(True))
+    s = {p: F.greatest(F.col(f"{p}mad") * 1.4826 / 1000, F.lit(LEAST_SPREAD)) for p in both}
+    widths = {"qu_": (lower, upper), "qu_word_": (word_lower, word_upper)}
+    edges = [(F.col(f"{p}middle") / 1000 + sign * w * s[p]).alias(f"{p}{edge}") for p in both for edge, sign, w in zip(("low", "high"), (-1, 1), widths[p], strict=True)]
+    band = spread.filter(F.col("qu_docs") >= ENOUGH).select("qu_lang", *edges)
+    perplexity = {p: F.col(f"{p}milli") / 1000 for p in both}
+    slack = {"qu_": SAMPLING / F.sqrt("qu_chars"), "qu_word_": F.coalesce(F.try_divide(F.lit(SAMPLING), F.sqrt("qu_n_words")), F.lit(0.0))}
+    inside = F.lit(True)
+    for p in both:
+        inside = inside & F.coalesce(perplexity[p].between(F.col(f"{p}low") - slack[p], F.col(f"{p}high") + slack[p]), F.lit(True))
     return measured.join(band, "qu_lang", "left").select(
-        *[F.col(c) for c in carry], *[F.col(f"qu_{c}") for c in COUNTS], "qu_base_failed", perplexity.alias("qu_log_perplexity"), "qu_low", "qu_high", (~F.col("qu_base_failed") & inside).alias("qu_kept")
+        *[F.col(c) for c in carry], *[F.col(f"qu_{c}") for c in COUNTS], "qu_base_failed", perplexity["qu_"].alias("qu_log_perplexity"), "qu_low", "qu_high",
+        perplexity["qu_word_"].alias("qu_word_perplexity"), "qu_word_low", "qu_word_high", (~F.col("qu_base_failed") & inside).alias("qu_kept"),
     )
 
 
