@@ -50,3 +50,17 @@ def test_widely_copied_values_are_told_from_live_ones(spark):
     texts = {r.doc_id: r.text for r in masked(docs).collect()}
     assert texts[3] == "see token=EXAMPLE123 and [secret]" and texts[1] == rows[1][1] and len(texts) == 8
     assert judged(docs.limit(0), ["doc_id", "source"], "text", "doc_id", "source").count() == 0
+
+
+def test_a_private_key_is_its_whole_block(spark):
+    line = "MIIEpAIBAAKCAQEA" * 4
+    key = lambda x: f"-----BEGIN RSA PRIVATE KEY-----\n{line}\n{x * 30}\n-----END RSA PRIVATE KEY-----"
+    assert [(a, b) for a, k, b, _ in find("x " + key("Q") + " y") if k == 3] == [(2, 2 + len(key("Q")))]
+    cut = f"-----BEGIN PRIVATE KEY-----\n{line}\n{line}\nQmFk"
+    assert [(a, b) for a, k, b, _ in find(cut + "\nAnd then prose.") if k == 3] == [(0, len(cut))]
+    value = lambda t: [v for _, k, _, v in find(t) if k == 3]
+    assert value(key("Q")) == value(key("Q").replace("\n", "\\n")) != value(key("R"))
+    assert value("-----BEGIN PRIVATE KEY----- is a header") == ["-----BEGIN PRIVATE KEY-----"]
+    rows = [(i, f"a {key(chr(65 + i))} b", f"s{i}") for i in range(26)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert {r.text for r in masked(docs).collect()} == {"a [secret] b"}

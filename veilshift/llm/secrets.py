@@ -16,13 +16,23 @@ from pyspark.sql import functions as F
 
 from .common import documents, keep
 
+#: A private key up to its END line, or without one its header fields and lines of base64; group 1 is the body.
+PEM = re.compile(
+    r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"
+    r"((?:(?!-----BEGIN )[\s\S])*?(?=-----END (?:[A-Z]+ )*PRIVATE KEY-----)"
+    r"|(?:\s*[A-Za-z]+-[A-Za-z]+: [^\n]*\n)*(?:(?:\s|\\[nr])*[A-Za-z0-9+/]{16,}={0,2})*(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,76}={0,2}(?![^\r\n\\]))?)"
+    r"(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?"
+)
+#: White space in a key, also as escapes in a string; the same key wrapped otherwise is the same value.
+PEM_SPACE = re.compile(r"\s|\\[nr]")
+
 #: Fixed patterns, by kind and in this order. The first three are the base rules; the second item is the group that
 #: holds the secret, the third the least length of it.
 RULES = (
     ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A | re.I), 2, 6),
     ("access", re.compile(r"AKIA[A-Z0-9]{16,}"), 0, 20),
     ("hex", re.compile(r"[0-9a-f]{24,}"), 0, 24),
-    ("pem", re.compile(r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"), 0, 1),
+    ("pem", PEM, 1, 0),
     ("jwt", re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), 0, 1),
     ("forge", re.compile(r"gh[opsru]_[A-Za-z0-9]{30,}"), 0, 1),
     ("chat", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}"), 0, 1),
@@ -44,6 +54,8 @@ def find(text: str | None) -> list[tuple[int, int, int, str]]:
     for k, (_, rule, group, least) in enumerate(RULES):
         for m in rule.finditer(text or ""):
             value = m[group]
+            if rule is PEM:  # a header alone is its own value
+                value = PEM_SPACE.sub("", value) or m[0]
             if len(value) >= least:
                 out.append((m.start(), k, m.end(), value))
     out.sort()
