@@ -64,3 +64,12 @@ def test_a_private_key_is_its_whole_block(spark):
     rows = [(i, f"a {key(chr(65 + i))} b", f"s{i}") for i in range(26)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
     assert {r.text for r in masked(docs).collect()} == {"a [secret] b"}
+
+
+def test_repeats_of_one_owner_stay_live(spark):
+    token = "sk_live_" + "c3D4" * 5
+    rows = [(i, f"{token} {i}", "s0") for i in range(40)] + [(40, token, "s1"), (41, token, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    assert all("[secret]" in r.text for r in masked(docs).collect())
+    spread = spark.createDataFrame([(i, token, f"s{i % 3}") for i in range(45)], "doc_id bigint, text string, source string")
+    assert {r.text for r in masked(spread).collect()} == {token}

@@ -1,8 +1,8 @@
 """Secret scans with corpus-wide ownership frequency.
 
 One pass finds candidates; a hash of each candidate's value is aggregated over the corpus by distinct
-repositories and owners. Values that many owners or repositories share are copied examples; the rest look
-live. Nothing but hashes and positions is shuffled.
+repositories and owners. Values that many owners share, or many repositories of some owners, are copied
+examples; the rest look live. Nothing but hashes and positions is shuffled.
 """
 
 from __future__ import annotations
@@ -41,8 +41,11 @@ RULES = (
 )
 KINDS = tuple(r[0] for r in RULES)
 BASE = 3
-#: From so many distinct owners, or repositories, on a value is a copied example.
+#: From so many distinct owners on a value is a copied example.
 WIDE_OWNERS = 5
+#: So is one of some owners from so many repositories on, without those of the owner that has most: however often one
+#: owner repeats its own value, that is no copy.
+SOME_OWNERS = 3
 WIDE_REPOSITORIES = 25
 
 SPAN = "struct<start:bigint,kind:int,end:bigint,hash:string>"
@@ -98,9 +101,9 @@ def ownership(scanned: DataFrame, repository: str, owner: str) -> DataFrame:
     pairs = seen.groupBy("hash", "o", "r").agg(F.lit(1).alias("one")).select("hash", "o", "r")
     by_owner = pairs.groupBy("hash", "o").agg(F.count("*").alias("n"))
     by_repo = pairs.groupBy("hash", "r").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("sc_repositories"))
-    return by_owner.groupBy("hash").agg(F.count("*").alias("sc_owners")).join(by_repo, "hash").withColumn(
-        "sc_wide", (F.col("sc_owners") >= WIDE_OWNERS) | (F.col("sc_repositories") >= WIDE_REPOSITORIES)
-    )
+    owners = by_owner.groupBy("hash").agg(F.count("*").alias("sc_owners"), (F.sum("n") - F.max("n")).alias("sc_elsewhere"))
+    some = (F.col("sc_owners") >= SOME_OWNERS) & (F.col("sc_elsewhere") >= WIDE_REPOSITORIES)
+    return owners.join(by_repo, "hash").withColumn("sc_wide", (F.col("sc_owners") >= WIDE_OWNERS) | some).drop("sc_elsewhere")
 
 
 def judged(docs: DataFrame, carry: list[str], text_col: str, repository: str, owner: str) -> DataFrame:
