@@ -40,3 +40,14 @@ def test_repeated_ids_and_empty(spark):
     got = linked_messages(spark.createDataFrame(rows, COLUMNS)).orderBy("turn").collect()
     assert [r.linked for r in got] == [True, False, True] and got[2].json == '{"content":null,"role":"tool","tool_call_id":"a"}'
     assert linked_messages(spark.createDataFrame([], COLUMNS)).count() == 0
+
+
+def test_long_chains_have_layers(spark):
+    def made(name, after):
+        return call({"id": name, "name": "search", "arguments": {"query": "q"}, "after": after})
+
+    after = {"a0": []} | {f"a{i}": [f"a{i - 1}"] for i in range(1, 80)} | {"m": ["a79", "a3"], "n": ["m"], "o": ["n", "m", "a0"], "p": ["o"]}
+    after |= {"x": ["z"], "y": ["x"], "z": ["y"], "w": ["x"], "v": ["w", "a0"], "self": ["self"]}
+    rows = [(1, i, "assistant", made(k, v), "") for i, (k, v) in enumerate(after.items())]
+    got = {r.call_id: r.layer for r in linked_messages(spark.createDataFrame(rows, COLUMNS)).collect()}
+    assert got == {f"a{i}": i for i in range(80)} | {"m": 80, "n": 81, "o": 82, "p": 83} | dict.fromkeys(["x", "y", "z", "w", "v", "self"], -1)

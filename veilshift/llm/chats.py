@@ -22,8 +22,6 @@ SCHEMAS = {
     "calculate": ({"expression": "string", "precision": "integer"}, ["expression"]),
     "lookup": ({"key": "string", "fields": "array", "strict": "boolean"}, ["key"]),
 }
-#: Longest chain of calls that wait for each other; what is deeper is in a cycle.
-DEPTH = 64
 
 
 def _quoted(c: Column) -> Column:
@@ -59,14 +57,30 @@ def _layers(calls: DataFrame) -> DataFrame:
     free = calls.select("c", "id").distinct().join(waits.select("c", "id"), ["c", "id"], "left_anti").withColumn("layer", F.lit(0))
     if not waits.limit(1).count():
         return free
+    # a chain of calls that wait for one call each is shortened by pointer doubling, to the call at its end and the way there
+    single = waits.groupBy("c", "id").agg(F.count("*").alias("n"), F.first("on").alias("on")).filter("n = 1")
+    jumps = keep(single.select("c", "id", "on", F.lit(1).alias("way")), "chat-jumps")
+    ids, most = jumps.select("c", F.col("id").alias("on")), jumps.count()
+    open_ = lambda j: j.join(ids, ["c", "on"], "left_semi")
+    reach = 1
+    while reach <= most and open_(jumps).limit(1).count():  # what is open after that runs into a cycle
+        further = jumps.select("c", F.col("id").alias("on"), F.col("on").alias("next"), F.col("way").alias("more"))
+        jumps = keep(jumps.join(further, ["c", "on"], "left").select("c", "id", F.coalesce("next", "on").alias("on"), (F.col("way") + F.coalesce("more", F.lit(0))).alias("way")), "chat-jumps")
+        reach *= 2
+    jumps = keep(jumps.join(ids, ["c", "on"], "left_anti").select("c", "id", "on", "way"), "chat-jumps")
+    ends = jumps.select("c", F.col("id").alias("on"), F.col("on").alias("end"), "way")
+    several = waits.join(single.select("c", "id"), ["c", "id"], "left_anti").join(ends, ["c", "on"], "left")
+    several = keep(several.select("c", "id", F.coalesce("end", "on").alias("on"), (1 + F.coalesce("way", F.lit(0))).alias("way")), "chat-several")
     done = keep(free, "chat-layer")
-    for depth in range(1, DEPTH):
-        reached = waits.join(done.select("c", F.col("id").alias("on"), "layer"), ["c", "on"], "left")
-        ready = reached.groupBy("c", "id").agg(F.count_if(F.col("layer").isNull()).alias("open")).filter("open = 0").select("c", "id")
-        new = keep(ready.join(done, ["c", "id"], "left_anti").withColumn("layer", F.lit(depth)), "chat-layer")
+    while True:
+        reached = several.join(done.select("c", F.col("id").alias("on"), "layer"), ["c", "on"], "left")
+        ready = reached.groupBy("c", "id").agg(F.count_if(F.col("layer").isNull()).alias("open"), F.max(F.col("layer") + F.col("way")).alias("layer")).filter("open = 0").select("c", "id", "layer")
+        new = keep(ready.join(done, ["c", "id"], "left_anti"), "chat-layer")
         if not new.limit(1).count():
             break
         done = keep(done.unionByName(new), "chat-layers")
+    chained = jumps.join(done.select("c", F.col("id").alias("on"), "layer"), ["c", "on"]).select("c", "id", (F.col("layer") + F.col("way")).alias("layer"))
+    done = keep(done.unionByName(chained), "chat-layers")
     rest = waits.select("c", "id").distinct().join(done, ["c", "id"], "left_anti").withColumn("layer", F.lit(-1))
     return done.unionByName(rest)
 
