@@ -45,3 +45,14 @@ def test_equals_brute_force(spark, tmp_path):
 def test_empty(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     assert op7_licenses(spark, str(tmp_path)).count() == 0
+
+
+def test_wrapped_notices(spark, tmp_path):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated files"
+    gap = "Redistribution and use in source and binary forms\n\nwith or without modification are permitted"
+    far = "\n".join(f"{w} " + "x " * 30 for w in "licensed under the gnu affero general license public".split())
+    rows = [(0, bsd), (1, mit), (2, "w\n" * 97 + bsd.replace(" ", "\n")), (3, gap), (4, far)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.labels, r.score) for r in op7_licenses(spark, str(tmp_path)).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("mit", 1.0), 2: ("bsd", 1.0), 3: ("", 0.0), 4: ("", 0.0)}

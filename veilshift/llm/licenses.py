@@ -6,6 +6,9 @@ THRESHOLD of the template's distinct tokens. With both in the global order, a bl
 template's prefix (prefix filter), has enough tokens of the vocabulary (length filter), and enough of them can still
 follow its first common token (positional filter); what passes is verified on the whole sets. The templates are a
 fixed small table, so they travel as literals and nothing is shuffled in the join.
+
+A notice may be wrapped: a sentence over several lines is also looked at in overlapping runs of words, long enough for
+the longest template to lie inside one wherever its lines end.
 """
 
 from __future__ import annotations
@@ -21,6 +24,8 @@ ANY_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Where blocks end.
 BLOCK_END = r"[.!?][\x09-\x0D\x20]|\n"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Where sentences end that may run over several lines.
+SENTENCE_END = r"[.!?][\x09-\x0D\x20]|\n[\x09\x0B-\x0D\x20]*\n"
 THRESHOLD = 0.9
 
 #: Fixed phrases of the base rule and their labels.
@@ -142,7 +147,18 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", threshold: f
         return let(words(lowered(b), LOWER_WORD), lambda w: F.filter(_array(order), lambda v: F.array_contains(w, v)))
 
     blocks = F.filter(F.split("li_text", BLOCK_END, -1), lambda b: b.rlike(sign))
-    matches = F.when(F.col("li_text").rlike(sign), F.flatten(F.transform(F.transform(blocks, block), lambda b: _matches(b, order, threshold))))
+    longest = max(len(x.split()) for _, x in TEMPLATES)
+
+    def runs(b: Column) -> Column:
+        def cut(w: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - longest, F.lit(0)), F.lit(longest)), lambda i: F.slice(w, i + 1, 2 * longest))
+
+        return let(words(lowered(b), LOWER_WORD), cut)
+
+    wrapped = F.filter(F.split("li_text", SENTENCE_END, -1), lambda b: b.contains("\n") & b.rlike(sign))
+    wrapped = F.transform(F.flatten(F.transform(wrapped, runs)), lambda w: F.filter(_array(order), lambda v: F.array_contains(w, v)))
+    every = F.concat(F.transform(blocks, block), wrapped)
+    matches = F.when(F.col("li_text").rlike(sign), F.flatten(F.transform(every, lambda b: _matches(b, order, threshold))))
     matches = F.coalesce(matches, F.array().cast("array<struct<label:string,part:double>>"))
     return rows.select(*[F.col(c) for c in carry], F.size(words(F.col("li_text"), ANY_WORD)).cast("bigint").alias("li_words"), found.alias("li_places"), matches.alias("li_matches"))
 
