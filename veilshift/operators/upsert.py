@@ -17,6 +17,10 @@ from pyspark.sql.window import Window
 from ..model import ConnectorError
 
 
+#: Names of columns that a run adds to order rows of one key by, the source's primary key.
+ORDER = "__order_"
+
+
 @dataclass(frozen=True)
 class Upserted:
     inserted: int
@@ -27,7 +31,8 @@ class Upserted:
 
 
 def last_of_each(df: DataFrame, key: list[str], order: list[str] | None, null_safe: bool = False) -> DataFrame:
-    """Of rows with one key the last in `order`. Rows with a null in the key are all kept, as they match nothing."""
+    """Of rows with one key the last in `order`. Rows with a null in the key are all kept, as they match nothing. Columns
+    whose names begin with ORDER only order the rows, and go."""
     if not key:
         raise ConnectorError("an upsert needs a natural key")
     by = [F.col(c).desc() for c in (order or key)] + [F.xxhash64(*df.columns).desc()]
@@ -35,7 +40,7 @@ def last_of_each(df: DataFrame, key: list[str], order: list[str] | None, null_sa
     first = F.col("__rank") == 1
     if not null_safe:
         first = first | reduce(Column.__or__, [F.col(k).isNull() for k in key])
-    return ranked.filter(first).drop("__rank")
+    return ranked.filter(first).drop("__rank", *[c for c in df.columns if c.startswith(ORDER)])
 
 
 def merge(existing: DataFrame, incoming: DataFrame, key: list[str], document: bool = False, order: list[str] | None = None) -> DataFrame:
@@ -72,8 +77,26 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def recover(spark: SparkSession, path: str) -> None:
+    """What a swap that was broken off left: the old table comes back if there is none, else its remains go."""
+    fs, target = _fs(spark, path)
+    parent = target.getParent()
+    if not fs.exists(parent):
+        return
+    old = [f.getPath() for f in fs.listStatus(parent) if f.getPath().getName().startswith(f"{target.getName()}.old-")]
+    if not old:
+        return
+    if not fs.exists(target):
+        if not fs.rename(old[0], target):
+            raise ConnectorError(f"{path} couldn't be recovered")
+        old = old[1:]
+    for x in old:
+        fs.delete(x, True)
+
+
 def swap(spark: SparkSession, staged: str, path: str) -> None:
-    """Put a staged table in a table's place; the old one goes last, so a crash loses neither."""
+    """Put a staged table in a table's place; the old one goes last. Between the two renames the table isn't there; a
+    crash there is mended by recover, which every run's look at a file table and every upsert begin with."""
     fs, target = _fs(spark, path)
     fresh, old = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (staged, f"{path}.old-{uuid.uuid4().hex}"))
     had = fs.exists(target)
@@ -90,7 +113,8 @@ def swap(spark: SparkSession, staged: str, path: str) -> None:
 def stage_files(df: DataFrame, path: str, key: list[str], kind: str = "parquet", order=None, document: bool = False) -> tuple[str | None, Upserted]:
     """Write the merged table beside `path`; (None, no counts) for an empty input."""
     spark = df.sparkSession
-    if not df.limit(1).count():
+    recover(spark, path)
+    if df.isEmpty():
         return None, Upserted(0, 0)
     staged = f"{path}.new-{uuid.uuid4().hex}"
     if path_exists(spark, path):

@@ -97,6 +97,10 @@ class Audit:
     def run_ended(self, run: str, mode: str, outcome: str, fingerprint: str) -> None:
         self._add("audit_run", [(run, "end", datetime.now(UTC).isoformat(), mode, outcome, fingerprint)])
 
+    def latest(self) -> DataFrame:
+        """The state of each run: its end if there is one, else its start."""
+        return self.read("audit_run").groupBy("run_id").agg(F.max_by(F.struct("event", "at", "mode", "outcome", "fingerprint"), F.struct(F.col("event") == "end", "at")).alias("x")).select("run_id", "x.*")
+
     def table_result(self, run: str, plan: TablePlan, outcome) -> None:
         self._add("audit_table_result", [(run, plan.source.name, plan.destination.name, outcome.inserted, outcome.updated, outcome.status, outcome.error)])
 
@@ -110,37 +114,41 @@ def masked_for(audit: DataFrame, basis: str) -> DataFrame:
     return audit.filter(F.array_contains(F.split("regulatory_basis", ","), basis))
 
 
-def report_text(plan: Plan, found: Diff) -> str:
-    lists = lambda xs: f"[{', '.join(xs)}]"
-    out = ["Migration Plan Report", f"Schema fingerprint: {plan.fingerprint}", f"Generated at: {plan.generated_at}", ""]
-    for t in sorted(plan.tables, key=lambda t: t.load_order):
-        to = "" if t.source.name.lower() == t.destination.name.lower() else f" -> {t.destination.name}"
-        out += [f"Table: {t.source.name}{to} (load order {t.load_order})", f"  Natural key: {lists(t.natural_key)}"]
-        if t.depends_on:
-            out.append(f"  Depends on: {lists(r.name for r in t.depends_on)}")
+#: Columns of a plan's report.
+REPORT = ("step", "table", "column", "becomes", "treatment", "because")
+
+
+def report_rows(plan: Plan, found: Diff) -> list[tuple]:
+    """REPORT: a row for each planned column in load order, then for each change and each obstacle at the destination."""
+    out = []
+    for t in sorted(plan.tables, key=lambda t: (t.load_order, t.source.name)):
         for c in t.columns:
-            if c.sensitive:
-                out.append(f"  [MASK] {c.source:<24} -> {c.destination:<24} technique={c.masking.technique:<20} confidence={c.confidence:.2f} source={c.decision.value:<22} basis={lists(c.basis)}")
-            else:
-                out.append(f"  [ ok ] {c.source}")
-        out.append("")
-    out.append("DDL actions:")
-    if not found.actions:
-        out.append("  (none — destination already matches)")
+            how = c.masking.technique if c.sensitive else "as it is"
+            why = " ".join([f"{c.decision.value} {c.confidence:.2f}", *c.basis]) if c.sensitive else ""
+            key = " (key)" if c.source in t.natural_key else ""
+            out.append((str(t.load_order), t.source.name, c.source + key, f"{t.destination.name}.{c.destination}", how, why))
     for a in found.actions:
-        what = a.schema if a.type == "CREATE_SCHEMA" else a.table.name + (f".{a.column.name}" if a.column else "")
-        out.append(f"  {a.type} {what}")
-    if found.conflicts:
-        out += ["", "DDL CONFLICTS (not applied — run-blocking for the affected column/table):"]
-        out += [f"  {c.table.name}.{c.column}: expected {c.expected}, found {c.found} — {c.reason}" for c in found.conflicts]
-    return "\n".join(out) + "\n"
+        where = a.schema if a.type == "CREATE_SCHEMA" else a.table.name
+        out.append(("change", where, a.column.name if a.column else "", "", a.type, ""))
+    for c in found.conflicts:
+        out.append(("obstacle", c.table.name, c.column, "", f"is {c.found}, not {c.expected}", c.reason))
+    return out
+
+
+def report_text(plan: Plan, found: Diff) -> str:
+    """The rows as a table of text, under what the plan was made of."""
+    rows = [REPORT, *report_rows(plan, found)]
+    wide = [max(len(r[k]) for r in rows) for k in range(len(REPORT))]
+    lines = [" | ".join(v.ljust(w) for v, w in zip(r, wide, strict=True)).rstrip() for r in rows]
+    after = [f"{t.source.name} loads after {', '.join(r.name for r in t.depends_on)}" for t in plan.tables if t.depends_on]
+    return "\n".join([f"plan of {plan.generated_at} for schema {plan.fingerprint}", "", *lines, "", *after]).rstrip() + "\n"
 
 
 def report_json(plan: Plan, found: Diff) -> str:
     return json.dumps({"plan": _plain(plan), "ddlDiff": _plain(found)}, indent=2)
 
 
-def write_report(plan: Plan, found: Diff, folder: str | None = None, name: str = "migration-plan-report") -> str:
+def write_report(plan: Plan, found: Diff, folder: str | None = None, name: str = "plan") -> str:
     """The text, which is also what a console shows; with a folder, name.txt and name.json there."""
     text = report_text(plan, found)
     if folder:

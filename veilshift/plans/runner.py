@@ -10,8 +10,9 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
-from ..functions.masking import Key, hide_secrets, key_from_environment, mask, masked_columns
+from ..functions.masking import Key, hide_secrets, key_from_environment, masked_columns
 from ..model import Plan, TablePlan, TableRef
 from ..operators import diff as D
 from ..operators import upsert as U
@@ -68,7 +69,9 @@ def outcome_of(tables: dict[TableRef, Outcome], left_out) -> str:
 class Loader:
     """Loads a plan's tables. A table that fails takes its dependents with it; others go on."""
 
-    def __init__(self, spark: SparkSession, source, destination, key: Key, graph: Graph, settings: Settings, marker: str | None = None):
+    def __init__(self, spark: SparkSession, source, destination, key: Key, graph: Graph, settings: Settings, marker: str | None = None, primary: dict[TableRef, tuple[str, ...]] | None = None):
+        """primary: the source's primary keys; of rows with one natural key the last by them stays."""
+        self.primary = primary or {}
         self.spark, self.source, self.destination, self.key, self.graph, self.settings = spark, source, destination, key, graph, settings
         self.marker = marker
         self.done: dict[TableRef, Outcome] = {}
@@ -78,12 +81,19 @@ class Loader:
         else:
             self.before = set()
 
+    def _by(self, t: TablePlan) -> tuple[str, ...]:
+        """Primary key columns that the natural key doesn't decide."""
+        own = self.primary.get(t.source, ())
+        return () if {k.lower() for k in own} <= {k.lower() for k in t.natural_key} else own
+
     def _rows(self, t: TablePlan):
-        return mask(self.source.read(self.spark, t.source), t, self.key)
+        rows = self.source.read(self.spark, t.source)
+        hide_secrets(self.spark)
+        return rows.select(*masked_columns(rows.schema, t, self.key), *[F.col(f"`{c}`").alias(f"{U.ORDER}{i}") for i, c in enumerate(self._by(t))])
 
     def _order(self, t: TablePlan) -> list[str] | None:
-        names = [c.destination for c in t.columns]
-        return [k for k in t.destination_key if k in names] or None
+        """The last in the source's primary-key order wins, whatever the masked values are."""
+        return [f"{U.ORDER}{i}" for i in range(len(self._by(t)))] or None
 
     def _mark(self, t: TableRef, o: Outcome) -> None:
         self.done[t] = o
@@ -143,6 +153,11 @@ class Loader:
             return
         staged = []
         try:
+            if hasattr(self.destination, "upsert_together"):
+                done = self.destination.upsert_together([(self._rows(t), t.destination, list(t.destination_key), self._order(t)) for t in group])
+                for t, n in zip(group, done, strict=True):
+                    self._mark(t.source, Outcome(COMPLETED, n.inserted, n.updated))
+                return
             for t in group:
                 path = self.destination.path(t.destination)
                 staged.append((t, path, *U.stage_files(self._rows(t), path, list(t.destination_key), self.destination.format, self._order(t))))
@@ -196,7 +211,10 @@ def run(spark: SparkSession, source, destination, settings: Settings, key: bytes
             for t in ready.tables:  # all of it compiles before any of it runs
                 masked_columns(source.read(spark, t.source).schema, t, pads)
             marker = os.path.join(settings.control_dir, f"run-{run_id}.done") if settings.control_dir else None
-            tables = Loader(spark, source, destination, pads, graph, settings, marker).load_all(ready)
+            if hasattr(destination, "apply"):
+                destination.apply(found.actions)
+            primary = {t.ref: t.key for t in schema.tables}
+            tables = Loader(spark, source, destination, pads, graph, settings, marker, primary).load_all(ready)
             tables = {**tables, **{t: Outcome(SKIPPED, error=why) for t, why in left_out.items()}}
             if audit:
                 for t in ready.tables:

@@ -23,7 +23,7 @@ from .operators import upsert as U
 from .plans import control as C
 from .plans import planner as P
 from .plans import runner as X
-from .plans.fingerprint import canonical_text, fingerprint
+from .plans.fingerprint import fingerprint
 from .sources import scan as S
 from .sources import types as Y
 
@@ -381,12 +381,20 @@ def _(spark, d):
     return I.infer(_t(spark, d, "events"), "props", sample=None)
 
 
-_MAPPED = [(e, n, k.value) for e, names in Y.TO_CANONICAL.items() for n, k in names.items()]
+#: Canonical kinds of native types, by engine.
+_MAPPED = {
+    "postgres": "varchar STRING, bpchar STRING, text TEXT, int2 INTEGER, int4 INTEGER, int8 LONG, numeric DECIMAL, bool BOOLEAN, date DATE, timestamp TIMESTAMP, timestamptz TIMESTAMP, bytea BINARY, uuid UUID",
+    "mysql": "varchar STRING, char STRING, text TEXT, longtext TEXT, tinyint BOOLEAN, smallint INTEGER, int INTEGER, bigint LONG, decimal DECIMAL, numeric DECIMAL, date DATE, datetime TIMESTAMP, timestamp TIMESTAMP, blob BINARY, varbinary BINARY, binary BINARY",
+    "oracle": "varchar2 STRING, nvarchar2 STRING, char STRING, clob TEXT, nclob TEXT, date DATE, timestamp TIMESTAMP, blob BINARY, raw BINARY",
+    "sqlserver": "nvarchar STRING, varchar STRING, nchar STRING, char STRING, text TEXT, ntext TEXT, int INTEGER, smallint INTEGER, bigint LONG, decimal DECIMAL, numeric DECIMAL, bit BOOLEAN, date DATE, datetime2 TIMESTAMP, datetime TIMESTAMP, varbinary BINARY, binary BINARY, uniqueidentifier UUID",
+    "mongodb": "string STRING, objectid STRING, int32 INTEGER, int64 LONG, double DECIMAL, decimal128 DECIMAL, bool BOOLEAN, date TIMESTAMP, bindata BINARY, array TEXT, object TEXT",
+}
+_MAPPED_ROWS = [(e, *x.split()) for e, pairs in _MAPPED.items() for x in pairs.split(", ")]
 
 
-@_query("q_type_map", "SELECT * FROM " + _values(_MAPPED, ["engine", "native", "canonical"]))
+@_query("q_type_map", "SELECT * FROM " + _values(_MAPPED_ROWS, ["engine", "native", "canonical"]))
 def _(spark, d):
-    rows = [(e, n, Y.to_canonical(e, n.upper()).kind.value) for e, names in Y.TO_CANONICAL.items() for n in names]
+    rows = [(e, n, Y.to_canonical(e, n.upper()).kind.value) for e, n, _ in _MAPPED_ROWS]
     return spark.createDataFrame(rows, "engine string, native string, canonical string")
 
 
@@ -441,7 +449,24 @@ def _(spark, d):
 _SCHEMA = Schema(_model(_DESIRED).tables, (ForeignKey(TableRef("orders"), ("id",), TableRef("customers"), ("id",)),))
 
 
-@_query("q_fingerprint", "SELECT 'sha256:' || sha256(v.text) AS fingerprint FROM " + _values([(canonical_text(_SCHEMA),)], ["text"]))
+#: What is hashed for _SCHEMA: the stored format.
+_FINGERPRINTED = """TABLE:customers
+  COL:id:INTEGER:true:false
+  COL:ssn:STRING:true:false
+  COL:tier:STRING:true:false
+  PK:
+TABLE:fresh
+  COL:id:LONG:true:false
+  PK:
+TABLE:orders
+  COL:id:LONG:true:false
+  COL:paid:BOOLEAN:true:false
+  PK:
+FK:orders[id]->customers[id]
+"""
+
+
+@_query("q_fingerprint", "SELECT 'sha256:' || sha256(v.text) AS fingerprint FROM " + _values([(_FINGERPRINTED,)], ["text"]))
 def _(spark, d):
     mixed = Schema(tuple(Table(t.ref, t.columns[::-1], t.key) for t in _SCHEMA.tables[::-1]), _SCHEMA.foreign_keys)
     return spark.createDataFrame([(fingerprint(mixed),)], "fingerprint string")
@@ -535,13 +560,7 @@ def _(spark, d):
     return spark.createDataFrame(rows, "name string, outcome string, exit_code int")
 
 
-@_query("q_report_rows")
-def _(spark, d):
-    text = C.report_text(Plan("sha256:0", "now", (CUSTOMER_PLAN,)), D.Diff())
-    return spark.createDataFrame(list(enumerate(text.splitlines(), 1)), "line int, text string")
-
-
-@_query("q_key_validation", "SELECT * FROM " + _values([(t, t == "HASH_HMAC") for t in M.TECHNIQUES], ["technique", "allowed"]))
+@_query("q_key_validation", "SELECT * FROM " + _values([("HASH_HMAC", True), ("REDACT_FULL", False), ("REDACT_PARTIAL", False), ("GENERALIZE_BUCKET", False), ("SYNTHETIC_SUBSTITUTION", False)], ["technique", "allowed"]))
 def _(spark, d):
     rows = []
     for name in M.TECHNIQUES:
@@ -574,8 +593,12 @@ _query("q_stream_copy", _O["q_mask_row_customer"])(_copied)
 
 
 def queries() -> dict:
+    from . import checks  # noqa: F401  registers more
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import checks  # noqa: F401
+
     return dict(_O)

@@ -1,7 +1,7 @@
 """Connectors by name and role: files (parquet, json, csv), JDBC databases, and document stores.
 
-A connector reads a table as a DataFrame and writes one by upsert. Files are tested here; JDBC goes through Spark's
-reader and a writer of dialect SQL; `mongodb` needs its public Spark package on the class path.
+A connector reads a table as a DataFrame and writes one by upsert. Databases are in database.py; `mongodb` needs its
+public Spark package on the class path.
 """
 
 from __future__ import annotations
@@ -10,10 +10,13 @@ import posixpath
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import Column, ConnectorError, ForeignKey, Schema, Table, TableRef
 from ..operators import upsert as U
-from .types import canonical_of
+from ..operators.infer import infer
+from .database import Database
+from .types import canonical_of, to_canonical
 
 _SOURCES: dict[str, type] = {}
 _DESTINATIONS: dict[str, type] = {}
@@ -72,6 +75,7 @@ class Files:
         return reader.format(self.format).load(self.path(ref))
 
     def exists(self, spark: SparkSession, ref: TableRef) -> bool:
+        U.recover(spark, self.path(ref))
         return U.path_exists(spark, self.path(ref))
 
     def schema(self, spark: SparkSession) -> Schema:
@@ -93,55 +97,16 @@ for _name in ("parquet", "json", "csv", "orc"):
     register(_name, source=True, destination=True)(type(f"{_name.title()}Files", (Files,), {"format": _name}))
 
 
-@dataclass
-class Jdbc:
-    """A database by Spark's JDBC reader, in parallel ranges of a numeric key if bounds are given."""
-
-    url: str
-    options: dict = field(default_factory=dict)
-    engine = ""
-    deferred_constraints = False
-
-    def read(self, spark: SparkSession, ref: TableRef, column=None, lower=None, upper=None, partitions=None) -> DataFrame:
-        reader = spark.read.format("jdbc").options(url=self.url, dbtable=ref.name, **self.options)
-        if column:
-            reader = reader.options(partitionColumn=column, lowerBound=lower, upperBound=upper, numPartitions=partitions)
-        return reader.load()
-
-    def test(self, spark: SparkSession) -> bool:
-        return spark.read.format("jdbc").options(url=self.url, query="SELECT 1 AS one", **self.options).load().limit(0).schema is not None
-
-    def upsert(self, df: DataFrame, ref: TableRef, key: list[str], connect, batch: int = 5000) -> U.Upserted:
-        """connect(): a DB-API connection, called on executors once for a partition. Counts are the rows sent."""
-        from ..plans.dialects import upsert_sql
-
-        sql = upsert_sql(self.engine, ref, key, df.columns)
-
-        def send(rows):
-            con = connect()
-            try:
-                cursor, held = con.cursor(), []
-                for r in rows:
-                    held.append(tuple(r))
-                    if len(held) == batch:
-                        cursor.executemany(sql, held)
-                        con.commit()
-                        held = []
-                if held:
-                    cursor.executemany(sql, held)
-                con.commit()
-            finally:
-                con.close()
-
-        rows = U.last_of_each(df, key, None)
-        n = rows.count()
-        if n:
-            rows.foreachPartition(send)
-        return U.Upserted(n, 0)
+for _name in ("postgres", "mysql", "oracle", "sqlserver"):
+    register(_name, source=True, destination=True)(type(_name.title(), (Database,), {"engine": _name, "deferred_constraints": _name in ("postgres", "oracle")}))
 
 
-for _name in ("postgres", "mysql", "oracle", "sqlserver"):
-    register(_name, source=True, destination=True)(type(_name.title(), (Jdbc,), {"engine": _name, "deferred_constraints": _name in ("postgres", "oracle")}))
+def documents_table(ref: TableRef, df: DataFrame, key: str = "_id") -> Table:
+    """A collection's table: the types that most of a sample's documents have, as infer() votes."""
+    text = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])).alias("j"))
+    votes = {r.field: r for r in infer(text, "j").collect()}  # one row a field
+    columns = [Column(c, to_canonical("mongodb", votes[c].type if c in votes and votes[c].type != "null" else "string"), c != key and (c not in votes or votes[c].nullable), c == key) for c in df.columns]
+    return Table(ref, tuple(columns), (key,) if key in df.columns else ())
 
 
 @register("mongodb", source=True, destination=True)
@@ -151,8 +116,18 @@ class Documents:
 
     uri: str
     database: str
+    collections: tuple[str, ...] = ()
     deferred_constraints: bool = False
 
+    def test(self, spark: SparkSession) -> bool:
+        for c in self.collections:
+            self.read(spark, TableRef(c)).limit(1).collect()
+        return True
+
+    def schema(self, spark: SparkSession) -> Schema:
+        """Every collection's fields by the vote of a sample, with `_id` as key; a collection that isn't there yet has none."""
+        return Schema(tuple(documents_table(TableRef(c), self.read(spark, TableRef(c))) for c in self.collections))
+
     def read(self, spark: SparkSession, ref: TableRef) -> DataFrame:
         return spark.read.format("mongodb").options(**{"connection.uri": self.uri, "database": self.database, "collection": ref.table}).load()
 
