@@ -78,7 +78,7 @@ def test_plans_and_reports():
     lines = text.splitlines()
     assert lines[0].startswith("plan of now for schema sha256:") and lines[2].split() == "step | table | column | becomes | treatment | because".split()
     assert [[v.strip() for v in x.rstrip(" |").split(" | ")] for x in lines[3:5]] == [["1", "customers", "id (key)", "customers.id", "as it is"], ["1", "customers", "ssn", "customers.s", "REDACT_FULL", "rule 1.00"]]
-    assert "change" in lines[5] and "CREATE_SCHEMA" in lines[5] and "ADD_COLUMN" in lines[6] and "is DATE, not LONG | incompatible type" in lines[7]
+    assert "change" in lines[6] and "CREATE_SCHEMA" in lines[6] and "ADD_COLUMN" in lines[7] and "is DATE, not LONG | incompatible type" in lines[8]
     assert "change" not in report_text(plan, D.Diff()) and '"ddlDiff"' in report_json(plan, found)
     with pytest.raises(PlanValidationError):
         Plan("", "now")
