@@ -71,6 +71,30 @@ def thrifty(batches):
             libc.malloc_trim(0)
 
 
+def column(name: str) -> Column:
+    """A column by its name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(df: DataFrame) -> Column:
+    """A row's columns as one struct: so the names that an operator adds can't clash with them."""
+    return F.struct(*[column(c) for c in df.columns])
+
+
+def unfolded(df: DataFrame, row: str, names: list[str], **other: Column) -> DataFrame:
+    """The columns that whole_row has folded, those of other in their places."""
+    return df.select(*[other.get(c, F.col(row).getField(c)).alias(c) for c in names])
+
+
+#: Rows of a small table that is broadcast.
+SMALL = 100_000
+
+
+def small(df: DataFrame, most: int = SMALL) -> DataFrame:
+    """A kept table, marked to be broadcast if it has at most so many rows; else it is joined as it is."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def n_words(text: Column) -> Column:
     """Words of a text as long; null has none."""
     return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))), F.lit(0)).cast("long")
