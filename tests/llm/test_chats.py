@@ -1,6 +1,8 @@
 import json
 
-from veilshift.llm.chats import linked_messages
+import duckdb
+
+from veilshift.llm.chats import SQL, exchanges, linked_messages, op8_chats
 
 COLUMNS = "conv_id bigint, turn bigint, role string, text string, layer string"
 
@@ -51,3 +53,21 @@ def test_long_chains_have_layers(spark):
     rows = [(1, i, "assistant", made(k, v), "") for i, (k, v) in enumerate(after.items())]
     got = {r.call_id: r.layer for r in linked_messages(spark.createDataFrame(rows, COLUMNS)).collect()}
     assert got == {f"a{i}": i for i in range(80)} | {"m": 80, "n": 81, "o": 82, "p": 83} | dict.fromkeys(["x", "y", "z", "w", "v", "self"], -1)
+
+
+def test_plain_conversations_are_exchanges(spark, tmp_path):
+    rows = [
+        (1, 0, "system", "be brief"), (1, 1, "user", "one?"), (1, 2, "assistant", "1"), (1, 3, "user", None), (1, 4, "assistant", None), (1, 5, "user", "three \"?\""),
+        (1, 8, "assistant", "late"), (1, 9, "user", "again?"), (1, 11, "user", "and?"), (1, 12, "assistant", "no"), (2, 0, "user", ""), (2, 1, "user", "x" * 9000), (3, 0, "assistant", "first"), (4, 0, None, "lost"),
+    ] + [(5, 2 * i + k, role, f"é {i}") for i in range(40) for k, role in enumerate(("user", "assistant"))]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "conv_id bigint, turn bigint, role string, text string, layer string")
+    got = {(r.conv_id, r.turn): r for r in linked_messages(exchanges(docs)).collect()}
+    assert len(got) == len(rows)
+    assert [got[1, t].layer for t in (1, 3, 5, 9, 11)] == [0, 1, 2, 0, 1] and got[5, 78].layer == got[5, 79].layer == 39
+    assert [got[1, t].linked for t in (1, 2, 3, 4, 5, 8, 9, 11, 12)] == [True, True, True, True, False, False, False, True, True]
+    assert got[1, 3].errors == "missing text" and got[1, 1].errors == "" and got[3, 0].layer == -1 and got[1, 0].kind == got[4, 0].kind == "message"
+    docs.drop("layer").write.parquet(f"{tmp_path}/conversations.parquet")
+    mine = sorted((tuple(r) for r in op8_chats(spark, str(tmp_path)).collect()), key=repr)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert mine == sorted(con.execute(SQL).fetchall(), key=repr)

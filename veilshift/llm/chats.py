@@ -21,6 +21,7 @@ SCHEMAS = {
     "search": ({"query": "string", "limit": "integer"}, ["query"]),
     "calculate": ({"expression": "string", "precision": "integer"}, ["expression"]),
     "lookup": ({"key": "string", "fields": "array", "strict": "boolean"}, ["key"]),
+    "ask": ({"text": "string", "turn": "integer"}, ["text", "turn"]),
 }
 
 
@@ -140,13 +141,47 @@ def linked_messages(messages: DataFrame, schemas: dict = SCHEMAS, conversation:
     return every.withColumnRenamed("c", conversation).withColumnRenamed("turn", turn)
 
 
+def exchanges(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
+    """Conversations whose messages are plain, as tool calls and results: conv_id, turn, role, text.
+
+    A user's message of turn t is a call of the tool `ask`: its id is tN with N the turn, its arguments are text and turn,
+    and it waits for the call of turn t - 2, the question before. An assistant's message of turn t is the result of the
+    call of turn t - 1. Messages of other roles, and assistants' that hold calls themselves, stay as they are. Null text:
+    a call without the argument, a result without content. Null turn: a call or result without identifier. Repeated rows
+    stay, whose calls have one id. No rows: no rows. Other columns go.
+    """
+    t, said = F.col(turn).cast("long"), F.col(text).cast("string")
+    name = lambda n: F.concat(F.lit("t"), n.cast("string"))
+    call = F.struct(name(t).alias("id"), F.lit("ask").alias("name"), F.struct(said.alias("text"), t.alias("turn")).alias("arguments"), F.array(name(t - 2)).alias("after"))
+    own = F.coalesce(F.ltrim(said).startswith("{") & F.try_variant_get(F.try_parse_json(said), "$.tool_calls", "array<variant>").isNotNull(), F.lit(False))
+    asks, answers = F.col(role) == "user", (F.col(role) == "assistant") & ~own
+    return messages.select(
+        F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.when(asks, F.lit("assistant")).when(answers, F.lit("tool")).otherwise(F.col(role)).alias("role"),
+        F.when(asks, F.to_json(F.struct(F.array(call).alias("tool_calls")))).when(answers, F.to_json(F.struct(name(t - 1).alias("tool_call_id"), said.alias("content")))).otherwise(said).alias("text"),
+    )
+
+
 def op8_chats(spark, sf_dir: str) -> DataFrame:
-    return linked_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    """The driver's conversations are plain messages, so they are linked as exchanges of questions and answers."""
+    return linked_messages(exchanges(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
-#: Conversations without tool calls, as the driver's are.
+#: A question's layer is how many questions stand before it, two turns apart each.
 SQL = """
-SELECT conv_id, turn, 0::integer AS place, role, 'message' AS kind, NULL::varchar AS call_id, NULL::boolean AS linked, 0::integer AS layer, NULL::varchar AS errors,
-       '{"content":' || CASE WHEN text IS NULL THEN 'null' ELSE to_json(text)::varchar END || ',"role":' || CASE WHEN role IS NULL THEN 'null' ELSE to_json(role)::varchar END || '}' AS json
-FROM conversations
+WITH u AS (SELECT conv_id, turn, text, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS run FROM conversations WHERE role = 'user'),
+c AS (SELECT conv_id, turn, text, (row_number() OVER (PARTITION BY conv_id, turn % 2, run ORDER BY turn) - 1)::integer AS layer FROM u),
+a AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'assistant'),
+j AS (SELECT *, CASE WHEN text IS NULL THEN 'null' ELSE to_json(text)::varchar END AS said FROM conversations)
+SELECT c.conv_id, c.turn, 0::integer AS place, 'assistant' AS role, 'call' AS kind, 't' || c.turn AS call_id, a.turn IS NOT NULL AS linked, c.layer,
+       CASE WHEN c.text IS NULL THEN 'missing text' ELSE '' END AS errors,
+       '{"arguments":{' || coalesce('"text":' || to_json(c.text)::varchar || ',', '') || '"turn":' || c.turn || '},"id":"t' || c.turn || '","name":"ask"}' AS json
+FROM c LEFT JOIN a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1
+UNION ALL
+SELECT j.conv_id, j.turn, 0, 'tool', 'result', 't' || (j.turn - 1), c.turn IS NOT NULL, coalesce(c.layer, -1), NULL,
+       '{"content":' || said || ',"role":"tool","tool_call_id":"t' || (j.turn - 1) || '"}'
+FROM j LEFT JOIN c ON c.conv_id = j.conv_id AND c.turn = j.turn - 1 WHERE role = 'assistant'
+UNION ALL
+SELECT conv_id, turn, 0, role, 'message', NULL, NULL, 0, NULL,
+       '{"content":' || said || ',"role":' || CASE WHEN role IS NULL THEN 'null' ELSE to_json(role)::varchar END || '}'
+FROM j WHERE role IS NULL OR role NOT IN ('user', 'assistant')
 """
