@@ -4,8 +4,9 @@ DataFrame functions only. A first pass counts how often the templates' tokens oc
 vocabulary gets a global order, rare tokens first. A block (a sentence or line) joins a template if it holds at least
 THRESHOLD of the template's distinct tokens. With both in the global order, a block that does shares a token of the
 template's prefix (prefix filter), has enough tokens of the vocabulary (length filter), and enough of them can still
-follow its first common token (positional filter); what passes is verified on the whole sets. The templates are a
-fixed small table, so they travel as literals and nothing is shuffled in the join.
+follow its first common token (positional filter); what passes is verified on the whole sets, once, at the first common
+token. The templates are a small table, so its inverted index of prefix tokens travels as one literal map that a block's
+tokens are looked up in: a hash join without a shuffle, whose work doesn't grow with templates that share no token.
 
 A notice may be wrapped: a sentence over several lines is also looked at in overlapping runs of words, long enough for
 the longest template to lie inside one wherever its lines end.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import column, documents
 
 #: Words of a text whose A-Z are in lower case, and the same words in a text as it is.
 LOWER_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,6 +45,11 @@ TEMPLATES = (
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc0", "released into the public domain under cc0"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("apache", "you may not use this file except in compliance with the license"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 
 
@@ -81,30 +87,38 @@ def _array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def _joins(block: Column, whole: Column, n: int, least: int):
-    """Of a block and a template's tokens in the global order, by their first common token: positional filter and verification."""
+def prefix_index(order: list[str], threshold: float, templates=TEMPLATES) -> Column:
+    """The table of templates as an inverted index: each token of some template's prefix, and the templates with it there:
+    (label, tokens in the global order, n, least: tokens that a block needs). A literal, as large as the templates' prefixes."""
+    place = {w: i for i, w in enumerate(order)}
+    by_token: dict[str, list[Column]] = {}
+    for label, text in templates:
+        tokens = sorted(set(text.split()), key=place.__getitem__)
+        n, least = len(tokens), _least(len(tokens), threshold)
+        entry = F.struct(F.lit(label).alias("label"), _array(tokens).alias("tokens"), F.lit(n).alias("n"), F.lit(least).alias("least"))
+        for t in tokens[: n - least + 1]:
+            by_token.setdefault(t, []).append(entry)
+    return F.create_map(*[x for t, entries in sorted(by_token.items()) for x in (F.lit(t), F.array(*entries))])
 
-    def of(first: Column) -> Column:
-        follow = F.least(n - F.array_position(whole, first), F.size(block) - F.array_position(block, first))
-        return first.isNotNull() & (1 + follow >= least) & (F.size(F.array_intersect(block, whole)) >= least)
 
-    return of
+def _matches(block: Column, index: Column) -> Column:
+    """(label, containment) of the templates that a block joins; block: its tokens of the vocabulary in the global order.
+    Its tokens look up the templates whose prefixes hold them; a template is judged at the first of those alone."""
+    empty = F.array().cast("array<struct<label:string,part:double>>")
 
+    def of(token: Column, at: Column) -> Column:
+        def judge(t: Column) -> Column:
+            # length and prefix filters, first common token, positional filter, then the whole sets
+            size, needed = F.size(block), t["least"]
+            place = F.array_position(t["tokens"], token)
+            first = F.get(F.array_intersect(block, F.slice(t["tokens"], 1, t["n"] - needed + 1)), F.lit(0)) == token
+            follow = 1 + F.least(t["n"] - place, size - at - 1)
+            return (size >= needed) & (at <= size - needed) & (follow >= needed) & first & (F.size(F.array_intersect(block, t["tokens"])) >= needed)
 
-def _matches(block: Column, order: list[str], threshold: float) -> Column:
-    """(label, containment) of the templates that a block joins; block: its tokens of the vocabulary in the global order."""
-    place = {w: i for i, w in enumerate(order)}
-    out = []
-    for label, text in TEMPLATES:
-        tokens = sorted(set(text.split()), key=place.__getitem__)
-        n, least = len(tokens), _least(len(set(text.split())), threshold)
-        prefix = _array(tokens[: n - least + 1])
-        whole = _array(tokens)
-        start = F.slice(block, 1, F.greatest(F.size(block) - least + 1, F.lit(0)))
-        joins = let(F.get(F.array_intersect(start, prefix), F.lit(0)), _joins(block, whole, n, least))
-        found = F.struct(F.lit(label).alias("label"), (F.size(F.array_intersect(block, whole)).cast("double") / F.lit(float(n))).alias("part"))
-        out.append(F.when((F.size(block) >= least) & joins, found))
-    return F.filter(F.array(*out), lambda m: m.isNotNull())
+        found = F.filter(F.element_at(index, token), judge)
+        return F.coalesce(F.transform(found, lambda t: F.struct(t["label"].alias("label"), (F.size(F.array_intersect(block, t["tokens"])).cast("double") / t["n"]).alias("part"))), empty)
+
+    return F.flatten(F.transform(block, of))
 
 
 def scan(docs: DataFrame, carry: list[str], text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -113,14 +127,13 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", threshold: f
     li_words (number of words), li_places: array of (label, at) of base phrases in order, li_matches: array of
     (label, part) of the blocks that join a template.
 
-    Null text: as the empty one. Repeated rows: alike. No rows: no rows. Names in carry that begin with li_ are
-    refused; other columns go.
+    Null text: as the empty one. Repeated rows: alike. No rows: no rows. Other columns go, and so does a column of carry
+    that has one of the names above.
     """
-    if clash := [c for c in carry if c.startswith("li_")]:
-        raise ValueError(f"names kept for the scan: {clash}")
+    carry = [c for c in carry if c not in ("li_words", "li_places", "li_matches")]
     order = rare_first(docs, text_col)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(*[F.col(c) for c in carry], text.alias("li_text"))
+    text = F.coalesce(column(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(F.lit(0).alias("none"), *[column(c).alias(f"c{k}") for k, c in enumerate(carry)]).alias("li_row"), text.alias("li_text"))
     none = F.array().cast("array<struct<label:string,at:bigint>>")
 
     def places(w: Column) -> Column:
@@ -158,9 +171,10 @@ def scan(docs: DataFrame, carry: list[str], text_col: str = "text", threshold: f
     wrapped = F.filter(F.split("li_text", SENTENCE_END, -1), lambda b: b.contains("\n") & b.rlike(sign))
     wrapped = F.transform(F.flatten(F.transform(wrapped, runs)), lambda w: F.filter(_array(order), lambda v: F.array_contains(w, v)))
     every = F.concat(F.transform(blocks, block), wrapped)
-    matches = F.when(F.col("li_text").rlike(sign), F.flatten(F.transform(every, lambda b: _matches(b, order, threshold))))
+    index = prefix_index(order, threshold)
+    matches = F.when(F.col("li_text").rlike(sign), F.flatten(F.transform(every, lambda b: _matches(b, index))))
     matches = F.coalesce(matches, F.array().cast("array<struct<label:string,part:double>>"))
-    return rows.select(*[F.col(c) for c in carry], F.size(words(F.col("li_text"), ANY_WORD)).cast("bigint").alias("li_words"), found.alias("li_places"), matches.alias("li_matches"))
+    return rows.select(*[F.col("li_row").getField(f"c{k}").alias(c) for k, c in enumerate(carry)], F.size(words(F.col("li_text"), ANY_WORD)).cast("bigint").alias("li_words"), found.alias("li_places"), matches.alias("li_matches"))
 
 
 def op7_licenses(spark, sf_dir: str) -> DataFrame:
@@ -177,6 +191,7 @@ def op7_licenses(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    longest = max(len(x.split()) for _, x in TEMPLATES)
     known = "[" + ", ".join(f"{{'label': '{a}', 'tokens': [{', '.join(repr(w) for w in sorted(set(t.split())))}]}}" for a, t in TEMPLATES) + "]"
     hit = " OR ".join("(" + " AND ".join(f"w[i{f' + {k}' if k else ''}] = '{x}'" for k, x in enumerate(p.split())) + ")" for p, _ in PHRASES)
     label = "CASE " + " ".join(f"WHEN {' AND '.join(f'w[i{f" + {k}" if k else ""}] = {x!r}' for k, x in enumerate(p.split()))} THEN '{name}'" for p, name in PHRASES) + " END"
@@ -184,7 +199,10 @@ def _sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
 w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{LOWER_WORD}') AS w FROM d),
 p AS (SELECT r, doc_id, t, w, list_filter(range(1, len(w) + 1), lambda i: {hit}) AS pos FROM w),
-b AS (SELECT r, regexp_extract_all(b, '{LOWER_WORD}') AS w FROM (SELECT r, unnest(regexp_split_to_array(t, '{BLOCK_END}')) AS b FROM d)),
+s AS (SELECT r, regexp_extract_all(b, '{LOWER_WORD}') AS w FROM (SELECT r, unnest(regexp_split_to_array(t, '{SENTENCE_END}')) AS b FROM d) WHERE contains(b, chr(10))),
+b AS (
+  SELECT r, regexp_extract_all(b, '{LOWER_WORD}') AS w FROM (SELECT r, unnest(regexp_split_to_array(t, '{BLOCK_END}')) AS b FROM d)
+  UNION ALL SELECT r, w[i + 1:i + {2 * longest}] FROM (SELECT r, w, unnest(range(0, greatest(len(w) - {longest}, 0) + 1, {longest})) AS i FROM s)),
 m AS (
   SELECT r, k.label AS label, len(list_intersect(k.tokens, w))::double / len(k.tokens) AS part
   FROM (SELECT r, w, unnest({known}) AS k FROM b)
