@@ -1,10 +1,12 @@
 """Toxicity by a weighted grammar of finite-state transducers.
 
-Words are tagged as insult, threat, target, negation, report or other; insults are stated ones and prefix patterns
-learned from labelled rows. Every clause that holds an insult or a threat is rewritten by the composition of three
-transducers: reported speech marks what follows a verb of saying, negation what follows a negation closely, and target
-what stands with a person. The matched arcs of a clause have weights; a document's features are sums over its matched
-clauses, and a logistic model of them, fitted on the labelled rows, gives the score.
+Five weighted transducers are composed, each reading what the one before writes. The insult transducer reads words: it
+matches prefix patterns letter by letter, learned from labelled rows, and stated words, and phrases whose head is an
+insult only with what stands before it. The threat transducer matches verbs of violence, which weigh more after an
+announcement ("will", "gonna") and hardly anything without a person in reach. Reported speech, negation and target change
+the weights of the arcs that they span: what follows a verb of saying, or a negation closely, and what stands with a
+person. Every clause with an insult or a threat runs through the composition; a document's features are sums over the
+arcs and weights of its matched clauses, and a logistic model of them, fitted on the labelled rows, gives the score.
 """
 
 from __future__ import annotations
@@ -27,6 +29,11 @@ salaud basura cabrón escoria estúpido idiota imbécil""".split()
 THREATS = "kill hurt destroy murder beat hang shoot stab strangle töten umbringen tuer frapper matar destruir".split()
 TARGETS = "you your yours you're he him she her they them their these those people du dich dir ihr euch sie tu toi vous ils elles tú te ustedes ellos ellas".split()
 NEGATIONS = "not never no nor neither hardly isn't aren't don't won't nicht nie kein keine ne pas jamais nunca jamás tampoco".split()
+ANNOUNCEMENTS = "will gonna going shall must should i'll we'll werde wirst soll vais va voy vamos".split()
+#: Insults of two words: the second is one only after the first.
+PHRASES = ("piece shit", "son bitch", "waste space", "dumb ass", "brain dead", "low life", "sac merde", "hijo puta")
+#: Words that may stand between the two.
+BETWEEN = "of a an the de del la".split()
 REPORTS = "said says say told tells called calls wrote writes quoted quotes claimed claims reported reports sagte nannte schrieb dit dirent écrit dijo llamó escribió".split()
 
 #: Labelled rows that a model is fitted on, at most: those of smallest hash.
@@ -35,12 +42,12 @@ TRAIN_ROWS = 20_000
 PREFIX = range(4, 13)
 #: Evidence that a pattern needs: likelihood ratio statistic, and log odds of toxic against other documents.
 EVIDENCE, ODDS = 26.0, 1.5
-#: Weight of an arc without evidence from labels, and the weights of a threat.
-PRIOR, THREAT = 3.0, 2.0
+#: Weight of an insult without evidence from labels, and of a threat; what an announcement does to a threat.
+PRIOR, THREAT, ANNOUNCED = 3.0, 2.0, 1.5
 #: What marks do to an arc's weight.
 MARKS = {"-": 0.6, "~": 0.6, "+": 1.2}
-#: Words that a negation reaches.
-REACH = 3
+#: Words that a negation reaches, and an announcement.
+REACH, AHEAD = 3, 4
 MEMO = 400_000
 
 TOKEN = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[.!?;:\n]")
@@ -48,7 +55,8 @@ ENDS = frozenset(".!?;:\n")
 
 
 class Transducer:
-    """Deterministic: step(state, symbol) -> (state, output). Symbols are a tag and marks; the start state is 0."""
+    """Deterministic and weighted: step(state, (symbol, weight)) -> (state, (symbol, weight)); the start state is 0.
+    Symbols are a tag and marks; weights multiply along a path."""
 
     def __init__(self, step):
         self.step = step
@@ -56,63 +64,103 @@ class Transducer:
     def compose(self, other: Transducer) -> Transducer:
         """Runs other on what self puts out."""
 
-        def step(state, symbol):
+        def step(state, arc):
             a, b = state or (0, 0)
-            a, out = self.step(a, symbol)
+            a, out = self.step(a, arc)
             b, out = other.step(b, out)
             return (a, b), out
 
         return Transducer(step)
 
-    def run(self, symbols):
+    def run(self, arcs):
         state, out = 0, []
-        for s in symbols:
-            state, o = self.step(state, s)
+        for x in arcs:
+            state, o = self.step(state, x)
             out.append(o)
         return out
 
 
-def _reported(state, s):
+def insults(lexicon: Lexicon) -> Transducer:
+    """Reads words. I: an insult; N, R, T, A: words of the grammar; H: a verb of violence; o: others. The state is the
+    first word of a phrase that is open."""
+
+    def step(state, arc):
+        word, weight = arc
+        if state and (state, word) in lexicon.phrases:
+            return 0, ("I", weight * PRIOR)
+        tag, v = lexicon.word(word) or ("o", 1.0)
+        state = word if word in lexicon.heads else state if state and word in lexicon.between else 0
+        return state, (tag, weight * v)
+
+    return Transducer(step)
+
+
+def _threatened(state, arc):
+    """A threat after an announcement weighs more; the state is how far that still reaches."""
+    s, w = arc
+    if s == "A":
+        return AHEAD, ("o", w)
+    return max(0, state - 1), (s, w * ANNOUNCED) if state and s == "H" else arc
+
+
+def _reported(state, arc):
+    s, w = arc
     if s == "R":
-        return 1, s
-    return state, s + "~" if state and s[0] in "IH" else s
+        return 1, arc
+    return state, (s + "~", w * MARKS["~"]) if state and s[0] in "IH" else arc
 
 
-def _negated(state, s):
+def _negated(state, arc):
+    s, w = arc
     if s == "N":
-        return REACH, s
-    return max(0, state - 1), s + "-" if state and s[0] in "IH" else s
+        return REACH, arc
+    return max(0, state - 1), (s + "-", w * MARKS["-"]) if state and s[0] in "IH" else arc
 
 
-def _targeted(state, s):
+def _targeted(state, arc):
     """An insult or threat after a target is marked; a target after one becomes an arc of its own, L."""
+    s, w = arc
     if s == "T":
-        return (3, "L") if state == 2 else (state or 1, s)
+        return (3, ("L", w)) if state == 2 else (state or 1, arc)
     if s[0] in "IH":
-        return (3, s + "+") if state in (1, 3) else (2, s)
-    return state, s
+        return (3, (s + "+", w * MARKS["+"])) if state in (1, 3) else (2, arc)
+    return state, arc
 
 
-GRAMMAR = Transducer(_reported).compose(Transducer(_negated)).compose(Transducer(_targeted))
+#: What is the same for every lexicon.
+RULES = Transducer(_threatened).compose(Transducer(_reported)).compose(Transducer(_negated)).compose(Transducer(_targeted))
 
 
 class Lexicon:
-    """Tags of words. learned: {prefix: weight}."""
+    """What single words are. learned: {prefix: weight}, as a trie that is walked letter by letter."""
 
     def __init__(self, learned: dict[str, float]):
-        self.learned = learned
-        self.sizes = sorted({len(p) for p in learned}, reverse=True)
-        self.fixed = {w: (t, v) for t, v, words in (("N", 0.0, NEGATIONS), ("R", 0.0, REPORTS), ("T", 0.0, TARGETS), ("H", THREAT, THREATS), ("I", PRIOR, INSULTS)) for w in words}
+        self.trie: dict = {}
+        for p, v in learned.items():
+            node = self.trie
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = v
+        every = (("N", 1.0, NEGATIONS), ("R", 1.0, REPORTS), ("A", 1.0, ANNOUNCEMENTS), ("T", 1.0, TARGETS), ("H", THREAT, THREATS), ("I", PRIOR, INSULTS))
+        self.fixed = {w: (t, v) for t, v, words in every for w in words}
+        self.phrases = {tuple(p.split()) for p in PHRASES}
+        self.heads, self.between = {a for a, _ in self.phrases}, frozenset(BETWEEN)
+        self.seconds = {b for _, b in self.phrases}
+        self.grammar = insults(self).compose(RULES)
         self.memo: dict[str, tuple | None] = {}
 
-    def tag(self, word: str):
-        """(tag, weight); None for other words."""
-        for n in self.sizes:
-            if (v := self.learned.get(word[:n])) is not None and len(word) >= n:
-                return "I", v
-        return self.fixed.get(word)
-
-    def tags(self, words: list[str]) -> list:
+    def word(self, word: str):
+        """(tag, weight); None for other words. Of learned prefixes the longest."""
+        node, found = self.trie, None
+        for c in word:
+            node = node.get(c)
+            if node is None:
+                break
+            found = node.get("", found)
+        return ("I", found) if found is not None else self.fixed.get(word)
+
+    def starts(self, words: list[str]) -> list:
+        """Whether a clause with each word has to run through the grammar: an insult, a threat or the end of a phrase."""
         memo = self.memo
         try:
             return [memo[w] for w in words]
@@ -121,19 +169,18 @@ class Lexicon:
                 memo.clear()
             for w in words:
                 if w not in memo:
-                    memo[w] = self.tag(w)
+                    memo[w] = (self.word(w) or "o")[0] in "IH" or w in self.seconds
             return [memo[w] for w in words]
 
 
 def features(text: str | None, lexicon: Lexicon) -> list[float]:
     """Weight and number of matched arcs, number of matched clauses, arcs of each mark, and links to targets."""
     words = TOKEN.findall((text or "").lower())
-    tags = lexicon.tags(words)
     weight = arcs = clauses = links = 0.0
     marks = dict.fromkeys(MARKS, 0.0)
     last = -1
-    for at, t in enumerate(tags):
-        if at <= last or t is None or t[0] not in "IH":
+    for at, hit in enumerate(lexicon.starts(words)):
+        if at <= last or not hit:
             continue
         begin = at
         while begin and words[begin - 1] not in ENDS:
@@ -141,18 +188,17 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         last = at
         while last + 1 < len(words) and words[last + 1] not in ENDS:
             last += 1
-        clause = tags[begin : last + 1]
-        clauses += 1
-        for got, t in zip(GRAMMAR.run([t[0] if t else "o" for t in clause]), clause, strict=True):
-            if got == "L":
+        matched = False
+        for s, w in lexicon.grammar.run([(w, 1.0) for w in words[begin : last + 1]]):
+            if s == "L":
                 links += 1
-            elif got[0] in "IH":
-                v = t[1]
-                for m in got[1:]:
-                    v *= MARKS[m]
+            elif s[0] in "IH":
+                matched = True
+                for m in s[1:]:
                     marks[m] += 1
-                weight += v
+                weight += w
                 arcs += 1
+        clauses += matched
     return [math.log1p(weight), min(weight, 20.0) / 4, float(arcs >= 1), float(arcs >= 2), float(arcs >= 3), min(clauses, 6) / 3, min(links, 3), *(min(v, 3) for v in marks.values())]
 
 
@@ -164,6 +210,17 @@ def _ratio(a: float, n: float, b: float, m: float) -> float:
     return 2 * (part(a, n, a / n) + part(b, m, b / m) - part(a, n, p) - part(b, m, p)) if 0 < p < 1 else 0.0
 
 
+def _evidence(a: str, b: str, toxic: int, other: int):
+    """_ratio as an expression; 0 where the share in toxic documents is the smaller one, or the odds are too small."""
+    x, y, n, m = F.col(a).cast("double"), F.col(b).cast("double"), float(toxic), float(other)
+    p = (x + y) / (n + m)
+    log = lambda k, q: F.when(k > 0, k * F.log(q)).otherwise(F.lit(0.0))
+    part = lambda k, total, q: log(k, q) + log(total - k, 1 - q)
+    g = 2 * (part(x, F.lit(n), x / n) + part(y, F.lit(m), y / m) - part(x, F.lit(n), p) - part(y, F.lit(m), p))
+    odds = F.log((x + 0.5) / (n + 1)) - F.log((y + 0.5) / (m + 1))
+    return F.when((x / n >= y / m) & (odds >= ODDS * 0.999), F.coalesce(g, F.lit(0.0))).otherwise(F.lit(0.0))
+
+
 def patterns(rows: list[tuple[str, int, int, int, int]], toxic: int, other: int) -> dict[str, float]:
     """Prefixes with evidence. rows: (prefix, toxic documents that have it, others, toxic that have it twice, others)."""
     found = []
@@ -225,10 +282,8 @@ def fit(labelled: DataFrame, limit: int = TRAIN_ROWS) -> tuple[dict[str, float],
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), *[pa.array([c[k] for c in counts.values()], pa.int64()) for k in range(4)]], ["p", "a", "b", "a2", "b2"])
 
     found = bounded.mapInArrow(prefixes, "p string, a bigint, b bigint, a2 bigint, b2 bigint").groupBy("p").agg(*[F.sum(c).alias(c) for c in ("a", "b", "a2", "b2")])
-    # only what could have the evidence comes to the driver: a prefix of a few toxic documents, mostly of them
-    share = toxic / (toxic + other)
-    enough = lambda x, y: (F.col(x) >= 4) & (F.col(x) > (F.col(x) + F.col(y)) * min(0.9, 2 * share))
-    found = found.filter(enough("a", "b") | enough("a2", "b2")).orderBy(F.greatest("a2", "a").desc(), "p").limit(200_000)
+    # only prefixes with the evidence come to the driver: each stands in documents of at most `limit` labelled ones
+    found = found.withColumn("g", F.greatest(_evidence("a", "b", toxic, other), _evidence("a2", "b2", toxic, other))).filter(F.col("g") >= EVIDENCE * 0.999).drop("g")
     learned = patterns([tuple(r) for r in found.collect()], toxic, other)
 
     def vectors(batches):
@@ -270,8 +325,9 @@ def held_out(id_col: str = "doc_id"):
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Several labels of one document are one: toxic if any of them says so."""
     docs = documents(spark, sf_dir)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~held_out()).select("doc_id", "toxic")
-    first = labels.filter("toxic is not null").orderBy(F.crc32(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(TRAIN_ROWS)
+    first = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.crc32(F.concat(F.lit("fit:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(TRAIN_ROWS)
     labelled = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").select(F.col("doc_id").alias("tx_id"), "text", "toxic")
     return score(docs, fit(labelled)).select("doc_id", held_out().alias("held_out"), F.col("tx_score").alias("score"), (F.col("tx_score") >= 0.5).cast("int").alias("predicted"))
