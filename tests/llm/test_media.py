@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from veilshift.llm import webp
-from veilshift.llm.media import load, media_column, op2_media, payload, store
+from veilshift.llm.media import load, media_column, op2_media, payload, store, tight, transforms
 
 RNG = np.random.default_rng(5)
 
@@ -64,6 +64,21 @@ def test_repeating_tiles_are_stored_tightly():
     assert len(stored[0]) < len(data[0]) / 20 and len(stored[4]) < len(data[4]) / 20
 
 
+def test_transforms_are_chosen_by_entropy():
+    ramp = (np.arange(64)[None, :, None] + np.arange(64)[:, None, None] * 3 + RNG.integers(0, 2, (64, 64, 3))).astype(np.uint8)
+    grey = np.repeat(RNG.integers(0, 256, (64, 64, 1), dtype=np.uint8), 3, axis=2)
+    lines = np.tile(RNG.integers(0, 256, (1, 64, 3), dtype=np.uint8), (64, 1, 1)) + RNG.integers(0, 2, (64, 64, 3), dtype=np.uint8)
+    noise = RNG.integers(0, 256, (64, 64, 3), dtype=np.uint8)
+    chosen = [transforms(x.reshape(-1, 3)) for x in (ramp, grey, lines, noise)]
+    assert "predictor" in chosen[0] and chosen[1] == {"cross": (32, 32, 0)} and chosen[2] == {"predictor": 2} and chosen[3] == {}
+    for x in (ramp, grey, lines):
+        data = x.tobytes()
+        file = tight(data)
+        assert len(file) < len(webp.encode_literals([data], 64)[0]) * 0.8
+        assert load([file])[0].tobytes() == data
+    assert tight(noise.tobytes()) is None
+
+
 def test_other_files_are_read_too():
     p = picture(30, 64) | 0xFF000000
     media = b"".join(webp.file_of(webp.encode(p, **how)) for how in ({}, {"matches": True}, {"predictor": 5, "cached": 3}))
