@@ -1,7 +1,9 @@
 import hashlib
+import random
 import re
+from collections import Counter
 
-from veilshift.llm.secrets import find, judged, masked, op10_secrets
+from veilshift.llm.secrets import KINDS, entropy, find, judged, masked, op10_secrets
 
 KEYS = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -73,3 +75,52 @@ def test_repeats_of_one_owner_stay_live(spark):
     assert all("[secret]" in r.text for r in masked(docs).collect())
     spread = spark.createDataFrame([(i, token, f"s{i % 3}") for i in range(45)], "doc_id bigint, text string, source string")
     assert {r.text for r in masked(spread).collect()} == {token}
+
+
+def test_random_tokens():
+    kinds = lambda t: [(KINDS[k], t[a:b]) for a, k, b, _ in find(t)]
+    assert kinds("use the bearer a8Zk3Qp9x2Lm here") == [("random", "a8Zk3Qp9x2Lm")]  # short, but its words speak of it
+    assert kinds("it is a8Zk3Qp9x2Lm here") == [] and kinds("key\na8Zk3Qp9x2Lm") == []
+    assert kinds("see Xk39fLq0ZpT7vBn2Wd5Rs8Yh and") == [("random", "Xk39fLq0ZpT7vBn2Wd5Rs8Yh")]
+    assert kinds("see xk39flq0zpt7vbn2wd5rs8yh and aaaaaaaa1111AAAA1111aaaa") == []  # one case, little entropy
+    assert kinds("the private key: https://x.org/Xk39fLq0ZpT7vBn2Wd5Rs8Yh/z") == []  # a path
+    assert [k for k, _ in kinds("token = Xk39fLq0ZpT7vBn2Wd5Rs8Yh")] == ["assign"]  # inside another span
+    assert entropy("aabb") == 1.0 and entropy("abcdefgh") == 3.0 and entropy("") == 0
+
+
+def planted():
+    """Documents of seven owners: examples that many copy, live ones of one owner, in several documents of it too."""
+    random.seed(12)
+    new = lambda n: "".join(random.choice("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789") for _ in range(n))
+    copied, some, live = "Ex" + new(24) + "7", "Qz" + new(24) + "3", ["Lv" + new(24) + "5" for _ in range(12)]
+    rows = []
+    for i in range(140):
+        said = [copied] * (i % 3 == 0) + [some] * (i % 7 < 3) + [live[i % 7]] * (i % 7 < 5) + [live[7 + i % 5]] * (i == 20)
+        rows.append((i, " and ".join(["words here", *said, f"token = tk{i % 5}abcdef9"]), f"o{i % 7}"))
+    return rows + [(None, copied, None), (3, rows[3][1], "o3")]
+
+
+def test_ownership_equals_brute_force(spark, tmp_path):
+    rows = planted()
+    seen = {}
+    for i, t, o in rows:
+        for _, _, _, v in find(t):
+            seen.setdefault(v, set()).add((o, i))
+
+    def wide(v):
+        owners = Counter(o for o, _ in seen[v])
+        return len(owners) >= 5 or len(owners) >= 3 and sum(owners.values()) - max(owners.values()) >= 25
+
+    spark.createDataFrame([(*r, 1) for r in rows], "doc_id bigint, text string, source string, sc_base int").write.parquet(f"{tmp_path}/documents.parquet")
+    got = op10_secrets(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows) and sum(r.n_copied for r in got) > 40 and sum(r.n_live for r in got) > 100
+    want = Counter()
+    for i, t, _ in rows:
+        found = find(t)
+        stays = [x for x in found if x[1] < 3 or not wide(x[3])]
+        want[(i, ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in stays), sum(not wide(v) for *_, v in found), sum(wide(v) for *_, v in found))] += 1
+    assert Counter((r.doc_id, r.spans, r.n_live, r.n_copied) for r in got) == want
+    assert any("random:" in r.spans for r in got)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    one, two = (sorted(masked(docs, held=h).collect(), key=repr) for h in (1000, 0))  # by a broadcast and by joins
+    assert one == two and masked(docs).columns == docs.columns and sum("[secret]" in (r.text or "") for r in one) > 90

@@ -1,6 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
-One pass finds candidates; a hash of each candidate's value is aggregated over the corpus by distinct
+One pass finds candidates: fixed patterns, and tokens that look random by their entropy, with less of it where the words
+before them speak of a credential. A hash of each candidate's value is aggregated over the corpus by distinct
 repositories and owners. Values that many owners share, or many repositories of some owners, are copied
 examples; the rest look live. Nothing but hashes and positions is shuffled.
 """
@@ -8,13 +9,17 @@ examples; the rest look live. Nothing but hashes and positions is shuffled.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import documents, keep
+from .common import column, documents, keep, whole_row
 
 #: A private key up to its END line, or without one its header fields and lines of base64; group 1 is the body.
 PEM = re.compile(
@@ -39,7 +44,12 @@ RULES = (
     ("pay", re.compile(r"[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"), 0, 1),
     ("cloud", re.compile(r"AIza[A-Za-z0-9_-]{35}"), 0, 1),
 )
-KINDS = tuple(r[0] for r in RULES)
+#: A token that may be random, and the words before one on its line that speak of a credential.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+_-]{12,}={0,2}(?![A-Za-z0-9+/_=-])")
+CONTEXT = re.compile(r"key|token|secret|passw|passphrase|credential|bearer|authorization|private|signature", re.I)
+#: Characters before a token that are looked at; least length and bits a character of a token with such words, and without.
+BEFORE, NEAR, ALONE = 60, (12, 2.9), (20, 3.6)
+KINDS = (*[r[0] for r in RULES], "random")
 BASE = 3
 #: From so many distinct owners on a value is a copied example.
 WIDE_OWNERS = 5
@@ -51,18 +61,45 @@ WIDE_REPOSITORIES = 25
 SPAN = "struct<start:bigint,kind:int,end:bigint,hash:string>"
 
 
+def entropy(value: str) -> float:
+    """Bits a character, by the value's own counts."""
+    n = len(value)
+    return -sum(c / n * math.log2(c / n) for c in Counter(value).values())
+
+
+def _random(text: str, m: re.Match) -> bool:
+    """Letters and digits, in both cases unless the words before speak of a credential, and of enough entropy."""
+    value = m[0]
+    if not any(c.isdigit() for c in value) or not any(c.isalpha() for c in value):
+        return False
+    near = CONTEXT.search(text[max(0, m.start() - BEFORE) : m.start()].rpartition("\n")[2]) is not None
+    length, bits = NEAR if near else ALONE
+    return len(value) >= length and (near or value != value.lower() and value != value.upper()) and entropy(value) >= bits
+
+
 def find(text: str | None) -> list[tuple[int, int, int, str]]:
-    """(start, kind, end, value) of every candidate, by start and then kind; offsets in code points, end exclusive."""
+    """(start, kind, end, value) of every candidate, by start and then kind; offsets in code points, end exclusive. A
+    random token inside what another rule finds is no candidate of its own."""
     out = []
+    text = text or ""
     for k, (_, rule, group, least) in enumerate(RULES):
-        for m in rule.finditer(text or ""):
+        for m in rule.finditer(text):
             value = m[group]
             if rule is PEM:  # a header alone is its own value
                 value = PEM_SPACE.sub("", value) or m[0]
             if len(value) >= least:
                 out.append((m.start(), k, m.end(), value))
     out.sort()
-    return out
+    ends, far = [], 0  # the furthest end of the spans so far
+    for a, _, b, _ in out:
+        far = max(far, b)
+        ends.append((a, far))
+    random = []
+    for m in TOKEN.finditer(text):
+        at = bisect_left(ends, (m.end(), 0))
+        if (not at or ends[at - 1][1] <= m.start()) and _random(text, m):
+            random.append((m.start(), len(RULES), m.end(), m[0]))
+    return sorted(out + random) if random else out
 
 
 def _digest(value: str) -> str:
@@ -73,32 +110,35 @@ def _joined(spans) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, *_ in spans)
 
 
-def _scan(docs: DataFrame, carry: list[str], text_col: str) -> DataFrame:
-    """The columns of `carry`, and sc_assign, sc_access, sc_hex, sc_base, sc_spans, sc_row (unique)."""
-    rows = docs.select(*[F.col(c) for c in carry], F.col(text_col).alias("sc_text"))
+def _scan(docs: DataFrame, row: Column, text_col: str) -> DataFrame:
+    """sc_row (of any kind), and sc_assign, sc_access, sc_hex, sc_base and sc_spans (with the hash of each value) of each
+    row of docs. Null text: as the empty one, no spans. Repeated rows: alike."""
+    rows = docs.select(row.alias("sc_row"), column(text_col).cast("string").alias("sc_text"))
     of = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64()), ("hash", pa.string())]))
-    names = [*carry, "sc_assign", "sc_access", "sc_hex", "sc_base", "sc_spans"]
+    names = ["sc_row", "sc_assign", "sc_access", "sc_hex", "sc_base", "sc_spans"]
 
     def scan(batches):
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            spans = [find(t) for t in texts]
+            spans = [find(t) for t in batch.column(1).to_pylist()]
             base = [[s for s in x if s[1] < BASE] for x in spans]
             counts = [pa.array([sum(s[1] == k for s in x) for x in base], pa.int64()) for k in range(BASE)]
             digests = pa.array([hashlib.sha256(_joined(x).encode()).hexdigest() for x in base], pa.string())
             found = pa.array([[dict(start=a, kind=k, end=b, hash=_digest(v)) for a, k, b, v in x] for x in spans], of)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *counts, digests, found], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *counts, digests, found], names)
+
+    return rows.mapInArrow(scan, f"sc_row {rows.schema['sc_row'].dataType.simpleString()}, sc_assign bigint, sc_access bigint, sc_hex bigint, sc_base string, sc_spans array<{SPAN}>")
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(scan, f"{kinds + ', ' if kinds else ''}sc_assign bigint, sc_access bigint, sc_hex bigint, sc_base string, sc_spans array<{SPAN}>").withColumn("sc_row", F.monotonically_increasing_id())
 
+def _owned(repository: str, owner: str) -> list[Column]:
+    """r, o: a row's repository and owner; null ones count as one."""
+    return [F.coalesce(column(c).cast("string"), F.lit("\0")).alias(a) for c, a in ((repository, "r"), (owner, "o"))]
 
-def ownership(scanned: DataFrame, repository: str, owner: str) -> DataFrame:
-    """hash, sc_repositories, sc_owners, sc_wide: how widely each value is copied. Null repositories and owners count as one."""
-    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0"))
-    seen = scanned.select(name(repository).alias("r"), name(owner).alias("o"), F.explode("sc_spans.hash").alias("hash"))
+
+def ownership(seen: DataFrame) -> DataFrame:
+    """seen: r, o, hash. Returns hash, sc_repositories, sc_owners, sc_wide: how widely each value is copied, however
+    often a row repeats it. Only hashes are shuffled, each once for a repository, owner and task. No rows: no rows."""
     # distinct by stages, so that a value in every document is spread over its repositories first
-    pairs = seen.groupBy("hash", "o", "r").agg(F.lit(1).alias("one")).select("hash", "o", "r")
+    pairs = seen.select("hash", "o", "r").distinct()
     by_owner = pairs.groupBy("hash", "o").agg(F.count("*").alias("n"))
     by_repo = pairs.groupBy("hash", "r").agg(F.lit(1).alias("one")).groupBy("hash").agg(F.count("*").alias("sc_repositories"))
     owners = by_owner.groupBy("hash").agg(F.count("*").alias("sc_owners"), (F.sum("n") - F.max("n")).alias("sc_elsewhere"))
@@ -110,20 +150,20 @@ def judged(docs: DataFrame, carry: list[str], text_col: str, repository: str, ow
     """A row for each row of docs: the columns of `carry`, sc_assign, sc_access, sc_hex (base spans of each kind),
     sc_base (hash of the base spans) and sc_found: array of (start, kind, end, wide), by start and kind.
 
-    Null and empty texts have no spans. Repeated rows are judged alike. No rows: no rows. `repository` and `owner`
-    have to be in `carry`; names that begin with sc_ are refused.
+    Null and empty texts have no spans. Repeated rows are judged alike. No rows: no rows. Other columns go, and so does a
+    column of carry that has one of the names above.
     """
-    if clash := [c for c in carry if c.startswith("sc_")]:
-        raise ValueError(f"names kept for the scan: {clash}")
-    scanned = keep(_scan(docs, carry, text_col), "secrets")
+    carry = [c for c in carry if c not in ("sc_assign", "sc_access", "sc_hex", "sc_base", "sc_found")]
+    row = F.struct(F.monotonically_increasing_id().alias("number"), *_owned(repository, owner), *[column(c).alias(f"c{k}") for k, c in enumerate(carry)])
+    scanned = keep(_scan(docs, row, text_col), "secrets")
     some = scanned.filter(F.size("sc_spans") > 0)
-    wide = ownership(some, repository, owner)
-    spans = some.select("sc_row", F.explode("sc_spans").alias("s")).select("sc_row", "s.*").join(wide, "hash")
-    found = spans.groupBy("sc_row").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "sc_wide"))).alias("sc_found"))
+    wide = ownership(some.select("sc_row.r", "sc_row.o", F.explode("sc_spans.hash").alias("hash")))
+    spans = some.select("sc_row.number", F.explode("sc_spans").alias("s")).select("number", "s.*").join(wide, "hash")
+    found = spans.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "sc_wide"))).alias("sc_found"))  # of one text
     none = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,sc_wide:boolean>>")
-    with_spans = some.join(found, "sc_row").drop("sc_spans", "sc_row")
-    without = scanned.filter(F.size("sc_spans") == 0).withColumn("sc_found", none).drop("sc_spans", "sc_row")
-    return without.unionByName(with_spans)
+    with_spans = some.withColumn("number", F.col("sc_row.number")).join(found, "number")
+    every = scanned.filter(F.size("sc_spans") == 0).withColumn("sc_found", none).drop("sc_spans").unionByName(with_spans.drop("sc_spans", "number"))
+    return every.select(*[F.col("sc_row").getField(f"c{k}").alias(c) for k, c in enumerate(carry)], "sc_assign", "sc_access", "sc_hex", "sc_base", "sc_found")
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
@@ -139,30 +179,59 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
     )
 
 
-def masked(docs: DataFrame, text_col: str = "text", repository: str = "doc_id", owner: str = "source", mark: str = "[secret]") -> DataFrame:
-    """docs with every live-looking value replaced by `mark`; copied examples and all other rows stay as they are."""
-    names = docs.columns
-    text_at = names.index(text_col)
-    found = judged(docs, names, text_col, repository, owner)
-    live = F.filter("sc_found", lambda s: ~s["sc_wide"])
-    rows = found.select(*names, live.alias("sc_live"))
+#: Hashes of copied values that executors hold at once.
+HELD = 1_000_000
+
+
+def masked(docs: DataFrame, text_col: str = "text", repository: str = "doc_id", owner: str = "source", mark: str = "[secret]", held: int = HELD) -> DataFrame:
+    """docs with every live-looking value replaced by `mark`; copied examples and all other rows stay as they are.
+
+    Texts are looked at twice, so none is kept or shuffled: once for the hashes, and once with those of the copied
+    values, which executors hold while they are `held` at most; of more, the spans of each text meet them by a join, and
+    texts are joined with what is found. Null and empty texts, repeated rows, no rows: as for judged. Other columns stay,
+    whatever their names."""
+    scanned = _scan(docs, F.struct(*_owned(repository, owner)), text_col)
+    wide = keep(ownership(scanned.select("sc_row.r", "sc_row.o", F.explode("sc_spans.hash").alias("hash"))).filter("sc_wide").select("hash"), "secrets-wide")
+    schema = T.StructType([*docs.schema.fields])
+    text_at = docs.columns.index(text_col)
 
     # runs of overlapping spans are replaced once, from the last to the first
-    def replace(batches):
+    def replaced(text, spans):
+        runs = []
+        for a, b in spans:
+            if runs and a < runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], b)
+            else:
+                runs.append([a, b])
+        for a, b in reversed(runs):
+            text = text[:a] + mark + text[b:]
+        return text
+
+    def put(batch, texts):
+        cols = list(batch.columns)[: len(schema.fields)]
+        cols[text_at] = pa.array(texts, cols[text_at].type)
+        return pa.RecordBatch.from_arrays(cols, [f.name for f in schema.fields])
+
+    if wide.count() <= held:
+        known = docs.sparkSession.sparkContext.broadcast(frozenset(wide.toArrow()["hash"].to_pylist()))
+
+        def work(batches):
+            for batch in batches:
+                copied = known.value
+                yield put(batch, [t and replaced(t, [(a, b) for a, _, b, v in find(t) if _digest(v) not in copied]) for t in batch.column(text_at).to_pylist()])
+
+        return docs.mapInArrow(work, schema)
+
+    numbered = keep(docs.select(F.struct(F.monotonically_increasing_id().alias("number")).alias("sc_number"), whole_row(docs).alias("sc_row")), "secrets-rows")
+    spans = _scan(numbered.withColumn("sc_text", F.col("sc_row").getField(text_col)), F.col("sc_number"), "sc_text").select("sc_row.number", F.explode("sc_spans").alias("s")).select("number", "s.*")
+    live = spans.join(wide, "hash", "left_anti").groupBy("number").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("sc_live"))  # of one text
+    joined = numbered.withColumn("number", F.col("sc_number.number")).join(live, "number", "left")
+    rows = joined.select(*[F.col("sc_row").getField(c).alias(c) for c in docs.columns], F.col("sc_live").alias("sc_live"))
+
+    def mend(batches):
         for batch in batches:
-            texts, spans = batch.column(text_at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()
-            for i, x in enumerate(spans):
-                runs = []
-                for s in x:
-                    if runs and s["start"] < runs[-1][1]:
-                        runs[-1][1] = max(runs[-1][1], s["end"])
-                    else:
-                        runs.append([s["start"], s["end"]])
-                for a, b in reversed(runs):
-                    texts[i] = texts[i][:a] + mark + texts[i][b:]
-            cols = list(batch.columns[:-1])
-            cols[text_at] = pa.array(texts, batch.schema.field(text_at).type)
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    hit = F.size("sc_live") > 0
-    return rows.filter(~hit).select(*names).unionByName(rows.filter(hit).mapInArrow(replace, docs.schema))
+            texts = batch.column(text_at).to_pylist()
+            found = batch.column(batch.num_columns - 1).to_pylist()
+            yield put(batch, [replaced(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(texts, found, strict=True)])
+
+    return rows.mapInArrow(mend, schema)
