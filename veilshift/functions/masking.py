@@ -28,14 +28,14 @@ def hide_secrets(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.redaction.string.regex", REDACTION)
 
 
-def key_from_environment(ref: str, version: int = 1, current: int = 1) -> bytes:
-    """ref: env:NAME, whose value is the key in base64."""
+def key_from_environment(ref: str, version: int = 1, current: int = 1) -> bytearray:
+    """ref: env:NAME, whose value is the key in base64. Key.of blanks it."""
     if version != current:
         raise ConfigurationError(f"masking key version {version} isn't there")
     kind, _, name = ref.partition(":")
     if kind != "env" or not (value := os.environ.get(name)):
         raise ConfigurationError("the masking key isn't set")
-    return base64.b64decode(value)
+    return bytearray(base64.b64decode(value))
 
 
 @dataclass(frozen=True)
@@ -49,10 +49,13 @@ class Key:
         return "Key(***)"
 
     @staticmethod
-    def of(key: bytes) -> Key:
+    def of(key: bytes | bytearray) -> Key:
+        """A key in a bytearray is zeroed once its pads are made."""
         if not key:
             raise ConfigurationError("the masking key is empty")
-        block = (hashlib.sha256(key).digest() if len(key) > BLOCK else key).ljust(BLOCK, b"\0")
+        block = (hashlib.sha256(key).digest() if len(key) > BLOCK else bytes(key)).ljust(BLOCK, b"\0")
+        if isinstance(key, bytearray):
+            key[:] = bytes(len(key))
         return Key(bytes(b ^ 0x36 for b in block).hex(), bytes(b ^ 0x5C for b in block).hex())
 
 
@@ -92,9 +95,16 @@ def year(c: Column, kind: T.DataType, name: str) -> Column:
 
 
 def whole(c: Column, kind: T.DataType, name: str) -> Column:
-    """An age: numbers are cut to whole ones, strings parsed."""
-    if isinstance(kind, T.NumericType):
+    """An age: numbers are cut to whole ones, strings parsed. Whole numbers past 32 bits keep the lowest 32, others the
+    nearest that fits, and no number is 0; so no value stands in an error."""
+    if isinstance(kind, T.ByteType | T.ShortType | T.IntegerType):
         return c.cast("int")
+    if isinstance(kind, T.FloatType | T.DoubleType):
+        return F.when(F.isnan(c), F.lit(0)).when(c.isNotNull(), F.greatest(F.least(c.cast("double"), F.lit(2147483647.0)), F.lit(-2147483648.0)).cast("int"))
+    if isinstance(kind, T.NumericType):
+        cut = F.when(c < 0, F.ceil(c)).otherwise(F.floor(c)) if isinstance(kind, T.DecimalType) else c
+        low = F.pmod(cut, F.lit(4294967296)).cast("bigint")
+        return F.when(low >= 2147483648, low - 4294967296).otherwise(low).cast("int")
     s = F.regexp_replace(c.cast("string"), r"^[\x00-\x20]+|[\x00-\x20]+$", "")
     return _or_fail(F.when(s.rlike(r"^[+-]?[0-9]+\z"), s.try_cast("int")), c, f"column {name}: not an integer")
 
