@@ -1,18 +1,20 @@
 """Suffix-array dedup: remove every byte that a string of `length` bytes covers which also starts elsewhere.
 
 Candidates. Every string of `length` bytes has an anchor: the string of _k(length) bytes of smallest hash inside it, the leftmost of
-equal ones. Equal strings have equal anchors at equal places, so only strings that share an anchor are compared. An
-occurrence of an anchor is a document of its own here: the bytes around it that its strings cover, aligned at the anchor.
+equal ones. Equal strings have equal anchors at equal places, so only strings that share an anchor are compared. The
+distances that a string can have from its anchor are cut into parts; all strings of a part contain the anchor and some
+bytes on both sides of it, the core. Only cores that occur twice are looked at: an occurrence is a document of its own
+here, the bytes beside the core that its strings cover, aligned at the core.
 
 Construction. A block of such documents is built column by column: each round inserts one symbol of every document,
 right to left, into the sorted order of their suffixes, and updates the common prefixes of neighbours from those of
 the round before (a stable sort by the new symbol, and range minima). Only the newest suffix of every document is
 held, as older ones start at other distances from the anchor and can't equal it. A string is repeated if its suffix
-has `length` symbols in common with a neighbour.
+has all of its symbols in common with a neighbour.
 
-Hot anchors. An anchor with over LIMIT occurrences is split by longer strings: its distances are halved, and each half
-is keyed by the bytes that all of its strings contain, and so on; single distances are keyed by the string itself and
-merely counted. So no task holds an unbounded group, and nothing is dropped.
+Hot cores. One with over LIMIT contexts is split by longer strings: the distances of its part are halved, and each half
+is keyed by its own, longer core, and so on; single distances are keyed by the string itself and merely counted. So no
+task holds an unbounded group, and nothing is dropped. Cores are compared by 64-bit hashes of their bytes.
 
 Equal texts are one text here (64-bit hash); a text that occurs twice is repeated as a whole.
 """
@@ -20,19 +22,22 @@ Equal texts are one text here (64-bit hash); a text that occurs twice is repeate
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left, bisect_right
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, keep, thrifty, width
+from .common import discard, documents, keep, thrifty, width
 from .quality import _power, _prefix_hashes, mixed
 
 LENGTH = 400
 #: Bytes of an anchor, at most, and the part of `length` that it is at most. Short ones would repeat by chance.
 ANCHOR, PART = 96, 4
-#: Occurrences of an anchor that one block takes.
+#: Times that the distances of an anchor are halved at first.
+LEVEL = 2
+#: Contexts of a core that one block takes.
 LIMIT = 8192
 #: Anchors, or texts, that executors hold at once, 8 bytes each, to pick out what repeats; more are joined.
 HELD = 4_000_000
@@ -60,11 +65,11 @@ def sliding_least(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(back[: n - w + 1], forth[w - 1 : n])
 
 
-def anchors(data: bytes, length: int = LENGTH):
-    """key, place, lo, hi of each run of strings with one anchor: those that start lo to hi bytes before it."""
+def _anchored(data: bytes, length: int):
+    """As anchors, and sums from which the hash of any run of bytes follows."""
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return *(np.zeros(0, np.int64) for _ in range(4)), np.zeros(1, np.uint64)
     k = _k(length)
     sums = _prefix_hashes(_BYTES[np.frombuffer(data, np.uint8)])
     h = mixed((sums[k:] - sums[:-k]) * _power(n + 1)[1][: n - k + 1])
@@ -72,7 +77,35 @@ def anchors(data: bytes, length: int = LENGTH):
     begin = np.nonzero(np.append(True, at[1:] != at[:-1]))[0]
     end = np.append(begin[1:], len(at)) - 1
     p = at[begin]
-    return h[p].view(np.int64), p, p - end, p - begin
+    return h[p].view(np.int64), p, p - end, p - begin, sums
+
+
+def anchors(data: bytes, length: int = LENGTH):
+    """key, place, lo, hi of each run of strings with one anchor: those that start lo to hi bytes before it."""
+    return _anchored(data, length)[:4]
+
+
+def _halves(length: int, level: int) -> list[tuple[int, int]]:
+    """The distances from 0 on that an anchor can have, halved so many times."""
+    parts = [(0, length - _k(length))]
+    for _ in range(level):
+        parts = [x for a, b in parts for x in ([(a, (a + b) // 2), ((a + b) // 2 + 1, b)] if a < b else [(a, b)])]
+    return parts
+
+
+def cores(data: bytes, length: int, held=None):
+    """key, place, part, lo, hi: of each run of strings with one anchor (of those held) those whose distances lo to hi
+    lie in one part of the distances; key: a hash of the part and of the bytes, the core, that all strings of the part contain."""
+    key, p, lo, hi, sums = _anchored(data, length)
+    if held is not None:
+        of = _among(key, held)
+        p, lo, hi = p[of], lo[of], hi[of]
+    a, b = np.array(_halves(length, LEVEL), np.int64).T
+    near, far = np.maximum(lo[:, None], a), np.minimum(hi[:, None], b)
+    r, j = np.nonzero(near <= far)
+    begin, end = p[r] - a[j], p[r] - b[j] + length
+    h = mixed((sums[end] - sums[begin]) * _power(len(data) + 1)[1][begin] + mixed(j.astype(np.uint64) + np.uint64(1)))
+    return h.view(np.int64), p[r], j, near[r, j], far[r, j]
 
 
 def _texts(batches, text_at: int = 0):
@@ -110,7 +143,8 @@ def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
 
 
-#: A context: an anchor's key, the distances of its strings, and the bytes that they cover; sub is a hash of all that.
+#: A context: the key of a core, distances lo to hi of its strings from the anchor, and the bytes beside the core that
+#: they cover: those before it and those behind, in a row; sub is a hash of all that.
 CONTEXT = "key bigint, lo int, hi int, x binary, sub bigint"
 #: A context in a text, and where its anchor stands there.
 OCCURRENCE = f"{CONTEXT}, t bigint, ps array<bigint>, n bigint"
@@ -120,13 +154,12 @@ def _sub(key: int, lo: int, hi: int, x: bytes) -> int:
     return _hash(b"%d %d %d " % (key, lo, hi) + x)
 
 
-def _counted(rows: DataFrame, length: int) -> DataFrame:
-    """key, c: how often each anchor occurs."""
+def _counted(rows: DataFrame, keys_of) -> DataFrame:
+    """key, c: how often each of the keys that keys_of finds in a text occurs."""
 
     def run(batches):
         for texts in _texts(batches):
-            keys = np.concatenate([anchors(x, length)[0] for _, x in texts])
-            keys, c = np.unique(keys, return_counts=True)
+            keys, c = np.unique(np.concatenate([keys_of(x) for _, x in texts]), return_counts=True)
             if len(keys):
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], ["key", "c"])
 
@@ -139,26 +172,28 @@ def _batch_of(found: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], names)
 
 
-def _contexts_of(t: int, data: bytes, length: int, held=None) -> list[tuple]:
+def _contexts_of(t: int, data: bytes, length: int, anchors_held, cores_held) -> list[tuple]:
     """OCCURRENCE of each different context of a text; a periodic text has few, though many anchors."""
-    key, p, lo, hi = anchors(data, length)
-    if held is not None:
-        of = _among(key, held)
-        key, p, lo, hi = key[of], p[of], lo[of], hi[of]
+    parts = _halves(length, LEVEL)
+    key, *rest = cores(data, length, anchors_held)
+    of = _among(key, cores_held)
     at: dict[tuple, list[int]] = {}
-    for k, q, a, b in zip(key.tolist(), p.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        at.setdefault((k, a, b, data[q - b : q - a + length]), []).append(q)
+    for p, j, near, far in zip(*(x[of].tolist() for x in rest), strict=True):
+        a, b = parts[j]
+        core = _hash(b"%d " % j + data[p - a : p - b + length])
+        at.setdefault((core, near, far, data[p - far : p - a] + data[p - b + length : p - near + length]), []).append(p)
     return [(*c, _sub(*c), t, ps, len(ps)) for c, ps in at.items()]
 
 
-def _occurrences(rows: DataFrame, length: int, held) -> DataFrame:
-    """OCCURRENCE of the anchors that are held."""
+def _occurrences(rows: DataFrame, length: int, anchors_held, cores_held) -> DataFrame:
+    """OCCURRENCE of the cores that are held."""
 
     def run(batches):
+        first = anchors_held.value if anchors_held is not None else None
         for texts in _texts(batches):
             found = []
             for t, data in texts:
-                found += _contexts_of(t, data, length, held.value)
+                found += _contexts_of(t, data, length, first, cores_held.value)
                 if len(found) > 5000:
                     yield _batch_of(found)
                     found = []
@@ -168,12 +203,13 @@ def _occurrences(rows: DataFrame, length: int, held) -> DataFrame:
     return rows.mapInArrow(run, OCCURRENCE)
 
 
-def _cut_out(rows: DataFrame, twice: DataFrame, length: int) -> DataFrame:
-    """OCCURRENCE when there are too many anchors to hold: the texts with some meet those by hash."""
+def _cut_out(rows: DataFrame, twice: DataFrame, length: int, anchors_held) -> DataFrame:
+    """OCCURRENCE when there are too many cores to hold: the texts with some meet those by hash."""
 
     def name(batches):
+        first = anchors_held.value if anchors_held is not None else None
         for texts in _texts(batches):
-            keys = [np.unique(anchors(x, length)[0]) for _, x in texts]
+            keys = [np.unique(cores(x, length, first)[0]) for _, x in texts]
             t = np.repeat(np.array([t for t, _ in texts], np.int64), [len(k) for k in keys])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(t)], ["key", "t"])
 
@@ -184,7 +220,7 @@ def _cut_out(rows: DataFrame, twice: DataFrame, length: int) -> DataFrame:
     def cut(batches):
         for batch in thrifty(batches):
             for t, x, keys in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                yield _batch_of(_contexts_of(t, x, length, np.sort(np.array(keys, np.int64))))
+                yield _batch_of(_contexts_of(t, x, length, None, np.sort(np.array(keys, np.int64))))
 
     of_text = rows.mapInArrow(name, "key bigint, t bigint").distinct().join(twice.select("key"), "key", "left_semi").groupBy("t").agg(F.collect_list("key").alias("keys"))
     whole = rows.mapInArrow(data, "t bigint, data binary").groupBy("t").agg(F.first("data").alias("data"))
@@ -194,11 +230,13 @@ def _cut_out(rows: DataFrame, twice: DataFrame, length: int) -> DataFrame:
 # --- construction
 
 
-def repeated(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: list[bytes], length: int = LENGTH) -> np.ndarray:
+def repeated(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: list[bytes], length) -> np.ndarray:
     """For documents of a block, sorted by group: flags (document, distance) of strings that another document of the
-    group has at the same distance. data: the bytes from hi before to length - lo after the anchor."""
+    group has at the same distance. data: the bytes from hi before a point to length - lo after it; length: of a string,
+    a number, or one for each document, the same in a group."""
+    length = np.broadcast_to(np.asarray(length), len(group))
     n, far, near = len(group), int(hi.max()), int(lo.min())
-    wide = far - near + length
+    wide = far - near + int(length.max())
     symbols = np.full((n, wide), 256, np.uint16)
     for r, (x, a) in enumerate(zip(data, (far - hi).tolist(), strict=True)):
         symbols[r, a : a + len(x)] = np.frombuffer(x, np.uint8)
@@ -210,7 +248,9 @@ def repeated(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: list[bytes
     order = np.arange(n)  # documents by the suffixes so far
     common = np.where(np.append(True, group[1:] != group[:-1]), np.int32(0), most)  # with the one before
     flags = np.zeros((n, far - near + 1), bool)
-    for c in range(wide - 1, -1, -1):
+    if not wide - (far - near):  # strings without bytes of their own
+        flags[:, :] = True
+    for c in range(wide - 1, -1, -1) if wide > far - near else ():
         s, g = symbols[c][order], group[order]
         by = np.argsort(s, kind="stable")
         by = by[np.argsort(g[by], kind="stable")]
@@ -223,24 +263,27 @@ def repeated(group: np.ndarray, lo: np.ndarray, hi: np.ndarray, data: list[bytes
             fresh[same] = np.minimum(np.minimum.reduceat(np.append(common, most), ends)[0::2] + 1, most)
         order, common = order[by], fresh
         if c <= far - near:  # strings at distance far - c
-            hit = common >= length
+            hit = common >= length[order]
             hit[:-1] |= hit[1:].copy()
             flags[order[hit], far - near - c] = True
     distance = near + np.arange(far - near + 1)
     return flags & (distance >= lo[:, None]) & (distance <= hi[:, None])
 
 
-def _built(contexts: DataFrame, length: int) -> DataFrame:
+def _built(contexts: DataFrame, length: int, level: int) -> DataFrame:
     """sub, a, b: runs of distances of repeated strings, from contexts in blocks of whole groups."""
+    parts = np.array(_halves(length, level), np.int64)
 
     def block(held):
         key, lo, hi = (np.array([r[k] for r in held], np.int64) for k in range(3))
-        flags = repeated(np.cumsum(np.append(0, key[1:] != key[:-1])), lo, hi, [r[3] for r in held], length)
+        first, last = parts[np.searchsorted(parts[:, 0], lo, side="right") - 1].T
+        # without the core, which all strings of a part contain, a string is as long as the part has steps
+        flags = repeated(np.cumsum(np.append(0, key[1:] != key[:-1])), lo - first, hi - first, [r[3] for r in held], last - first)
         edges = np.diff(np.pad(flags.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, first = np.nonzero(edges == 1)
-        last = np.nonzero(edges == -1)[1] - 1
-        near, sub = int(lo.min()), np.array([r[4] for r in held], np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(sub[row]), pa.array((near + first).astype(np.int32)), pa.array((near + last).astype(np.int32))], ["sub", "a", "b"])
+        row, begin = np.nonzero(edges == 1)
+        end = np.nonzero(edges == -1)[1] - 1
+        near, sub = int((lo - first).min()) + first[row], np.array([r[4] for r in held], np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(sub[row]), pa.array((near + begin).astype(np.int32)), pa.array((near + end).astype(np.int32))], ["sub", "a", "b"])
 
     def run(batches):
         held: list = []
@@ -257,28 +300,23 @@ def _built(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.select("key", "lo", "hi", "x", "sub").mapInArrow(run, "sub bigint, a int, b int")
 
 
-def _halves(length: int, level: int) -> list[tuple[int, int]]:
-    """The distances from 0 on that an anchor can have, halved so many times."""
-    parts = [(0, length - _k(length))]
-    for _ in range(level):
-        parts = [x for a, b in parts for x in ([(a, (a + b) // 2), ((a + b) // 2 + 1, b)] if a < b else [(a, b)])]
-    return parts
-
-
 def _split(contexts: DataFrame, length: int, level: int) -> DataFrame:
-    """CONTEXT and `of`, the context that it is a part of: keyed anew by parts of the distances and the bytes that all
-    strings of a part contain."""
-    parts = _halves(length, level)
+    """CONTEXT of this level and `of`, the context of the level before that it is a part of: its core is that one's and
+    the bytes beside it that all strings of the part contain too."""
+    above, parts = _halves(length, level - 1), _halves(length, level)
 
     def run(batches):
         for batch in thrifty(batches):
             out = []
             for key, lo, hi, x, sub in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                for a, b in parts:
-                    if a <= hi and b >= lo:
-                        core = _hash(b"%d %d %d " % (key, level, a) + x[hi - a : hi - b + length])
-                        near, far = max(a, lo), min(b, hi)
-                        part = x[hi - far : hi - near + length]
+                a, b = above[bisect_right(above, (lo, length)) - 1]
+                cut = hi - a  # the bytes before the core
+                left, right = x[:cut], x[cut:]
+                for c, d in parts[bisect_left(parts, (a, 0)) : bisect_right(parts, (b, length))]:
+                    near, far = max(c, lo), min(d, hi)
+                    if near <= far:
+                        core = _hash(b"%d %d %d " % (key, level, c) + left[hi - c :] + b"|" + right[: b - d])
+                        part = left[hi - far : hi - c] + right[b - d : b - near]
                         out.append((core, near, far, part, _sub(core, near, far, part), sub))
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64())
             whole = pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], ["key", "lo", "hi", "x", "sub", "of"])
@@ -288,32 +326,36 @@ def _split(contexts: DataFrame, length: int, level: int) -> DataFrame:
     return contexts.select("key", "lo", "hi", "x", "sub").mapInArrow(run, f"{CONTEXT}, of bigint")
 
 
-def _resolved(rows: DataFrame, length: int, level: int = 0) -> DataFrame:
-    """rows: CONTEXT and n. Returns sub, a, b: runs of distances at which a context's strings are repeated.
+def _resolved(rows: DataFrame, length: int, level: int) -> DataFrame:
+    """rows: CONTEXT of this level and n. Returns sub, a, b: runs of distances at which a context's strings are repeated.
 
     A context that occurs twice is repeated at all of its distances, and one of it is enough to compare others with.
     """
     first = {c: F.first(c).alias(c) for c in ("key", "lo", "hi", "x")}
     contexts = keep(rows.groupBy("sub").agg(*first.values(), F.sum("n").alias("n")), "contexts", large=True)
-    found = contexts.filter("n > 1").select("sub", F.col("lo").alias("a"), F.col("hi").alias("b"))
+    found = keep(contexts.filter("n > 1").select("sub", F.col("lo").alias("a"), F.col("hi").alias("b")), "distances")
     sizes = keep(contexts.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1"), "contexts-sizes")
     ready = contexts.join(sizes.filter(F.col("c") <= LIMIT).select("key"), "key", "left_semi")
-    found = found.unionByName(keep(_built(ready, length), "distances", large=True))
+    found = found.unionByName(keep(_built(ready, length, level), "distances", large=True))
     hot = sizes.filter(F.col("c") > LIMIT).select("key")
-    if not hot.limit(1).count():
-        return found
-    parts = keep(_split(contexts.join(hot, "key", "left_semi"), length, level + 1), "contexts-parts", large=True)
-    deeper = _resolved(parts.withColumn("n", F.lit(1).cast("bigint")), length, level + 1)
-    return found.unionByName(keep(parts.select("sub", "of").join(deeper, "sub").select(F.col("of").alias("sub"), "a", "b"), "distances"))
+    if hot.limit(1).count():
+        parts = keep(_split(contexts.join(hot, "key", "left_semi"), length, level + 1), "contexts-parts", large=True)
+        deeper = _resolved(parts.withColumn("n", F.lit(1).cast("bigint")), length, level + 1)
+        found = found.unionByName(keep(parts.select("sub", "of").join(deeper, "sub").select(F.col("of").alias("sub"), "a", "b"), "distances"))
+        discard(parts)
+    discard(contexts)
+    return found
 
 
 def repeated_starts(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     """rows: one binary column of texts. Returns t (hash of a text), ps, a, b: strings of `length` bytes that start a to
     b bytes before the places ps also start elsewhere, in another text or the same one."""
-    twice = keep(_counted(rows, length).filter("c > 1"), "anchors-twice")
+    first = _held(keep(_counted(rows, lambda x: anchors(x, length)[0]).filter("c > 1"), "anchors-twice"), "key")
+    twice = keep(_counted(rows, lambda x: cores(x, length, first.value if first is not None else None)[0]).filter("c > 1"), "cores-twice", large=True)
     held = _held(twice, "key")
-    found = keep(_occurrences(rows, length, held) if held is not None else _cut_out(rows, twice, length), "occurrences")
-    distances = _resolved(found.select("key", "lo", "hi", "x", "sub", "n"), length)
+    found = _occurrences(rows, length, first, held) if held is not None else _cut_out(rows, twice, length, first)
+    found = keep(found, "occurrences", large=True)
+    distances = _resolved(found.select("key", "lo", "hi", "x", "sub", "n"), length, LEVEL)
     return found.select("sub", "t", "ps").join(distances, "sub").select("t", "ps", "a", "b")
 
 
