@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, keep, thrifty
+from .common import column, documents, keep, small, thrifty, unfolded, whole_row
 
 ORDER = 4
 #: Spreads below and above the median that a document may lie.
@@ -31,8 +31,8 @@ LOWER, UPPER = 7.0, 7.0
 WORD_LOWER, WORD_UPPER = 3.0, 5.0
 #: A text of n characters (or words) may lie off by this over the square root of n more: means of short texts vary so.
 SAMPLING = 2.0
-#: Documents that a language needs for a band, and the least spread in nats.
-ENOUGH, LEAST_SPREAD = 50, 0.02
+#: Documents that a language needs for a model and band of its own, those with a band, and the least spread in nats.
+ENOUGH, LEAST, LEAST_SPREAD = 50, 20, 0.02
 #: Rows of a model (of characters, or of words) that executors hold at once, 16 bytes each.
 MODEL_ROWS = 4_000_000
 #: Characters that are worked on together.
@@ -147,8 +147,7 @@ FEW = 10_000
 
 def _few(df: DataFrame) -> DataFrame:
     """A kept table, marked to be broadcast if it has at most FEW rows; else it is joined as it is."""
-    df = keep(df, "quality-few")
-    return F.broadcast(df) if df.count() <= FEW else df
+    return small(keep(df, "quality-few"), FEW)
 
 
 def _discount(c: Column) -> Column:
@@ -158,7 +157,7 @@ def _discount(c: Column) -> Column:
 def _discounts(counts: DataFrame) -> DataFrame:
     """lang, d1, d2, d3 by counts of counts; a half, one and one and a half where those can't tell."""
     n = counts.groupBy("lang").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in range(1, 5)])
-    y = F.expr("n1 / (n1 + 2 * n2)")
+    y = F.expr("try_divide(n1, n1 + 2 * n2)")
     can = F.expr("n1 > 0 and n2 > 0 and n3 > 0")
     d = {"d1": 1 - 2 * y * F.expr("try_divide(n2, n1)"), "d2": 2 - 3 * y * F.expr("try_divide(n3, n2)"), "d3": 3 - 4 * y * F.expr("try_divide(n4, n3)")}
     return n.filter("n1 + n2 >= 0").select("lang", *[F.when(can & (e > 0.01) & (e < k), e).otherwise(0.5 * k).alias(a) for (a, e), k in zip(d.items(), (1, 2, 3), strict=True)])
@@ -372,17 +371,16 @@ def base_counts(texts: list[str], chars: np.ndarray, bounds: np.ndarray) -> dict
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def _measured(rows: DataFrame, carry: list[str], grams_shared, words_shared) -> DataFrame:
-    """rows: the columns of carry, qu_lang, qu_text. Adds COUNTS, qu_chars (log probabilities summed), qu_log and
-    qu_word_log; the logs are 0 for what isn't shared."""
-    names = [*carry, "qu_lang", *[f"qu_{c}" for c in COUNTS], "qu_chars", "qu_log", "qu_word_log"]
-    n = len(carry)
+def _measured(rows: DataFrame, grams_shared, words_shared) -> DataFrame:
+    """rows: qu_row (whatever it is), qu_lang, qu_text. Gives qu_row, qu_lang, COUNTS, qu_chars (log probabilities
+    summed), qu_log and qu_word_log; the logs are 0 for what isn't shared."""
+    names = ["qu_row", "qu_lang", *[f"qu_{c}" for c in COUNTS], "qu_chars", "qu_log", "qu_word_log"]
 
     def run(batches):
         held = grams_shared.value if grams_shared is not None else None
         words = words_shared.value if words_shared is not None else None
         nothing = Arrays({})
-        for part, (langs, texts) in _portions(batches, (n, n + 1)):
+        for part, (langs, texts) in _portions(batches, (1, 2)):
             texts = [t or "" for t in texts]
             chars, bounds = points(texts)
             counts = base_counts(texts, chars, bounds)
@@ -396,11 +394,10 @@ def _measured(rows: DataFrame, carry: list[str], grams_shared, words_shared) ->
                 if words is not None and lang in words:
                     at = np.append(0, np.cumsum(counts["n_words"][which]))
                     word_logs[which] = np.diff(np.append(0, np.cumsum(words[lang].log(word_hashes(c, b)[1])))[at])
-            cols = [part.column(i) for i in range(n + 1)]
-            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(counts[c]) for c in COUNTS], pa.array(np.diff(bounds) + 1), pa.array(logs), pa.array(word_logs)], names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *[pa.array(counts[c]) for c in COUNTS], pa.array(np.diff(bounds) + 1), pa.array(logs), pa.array(word_logs)], names)
 
-    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[:n])
-    return rows.mapInArrow(run, f"{kinds}qu_lang string, {', '.join(f'qu_{c} bigint' for c in COUNTS)}, qu_chars bigint, qu_log bigint, qu_word_log bigint")
+    kind = rows.schema["qu_row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"qu_row {kind}, qu_lang string, {', '.join(f'qu_{c} bigint' for c in COUNTS)}, qu_chars bigint, qu_log bigint, qu_word_log bigint")
 
 
 def _joined_logs(rows: DataFrame, m: DataFrame) -> DataFrame:
@@ -412,7 +409,7 @@ def _joined_logs(rows: DataFrame, m: DataFrame) -> DataFrame:
                 g, c = np.unique(grams(*points([t or ""]))[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i)), pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["qu_row", "lang", "g", "n"])
 
-    todo = rows.select("qu_row", "qu_lang", "qu_text").mapInArrow(run, "qu_row bigint, lang string, g bigint, n bigint").withColumn("lg", F.lit(0).cast("bigint"))
+    todo = rows.select("qu_number", "qu_lang", "qu_text").mapInArrow(run, "qu_row bigint, lang string, g bigint, n bigint").withColumn("lg", F.lit(0).cast("bigint"))
     done = None
     for k in range(ORDER, -1, -1):
         at = m.filter(F.col("k") == k)
@@ -437,72 +434,101 @@ def _joined_word_logs(rows: DataFrame, words: DataFrame) -> DataFrame:
                 g, c = np.unique(word_hashes(*points([t or ""]))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), i, np.int64)), pa.array([lang] * len(g), pa.string()), pa.array(g.view(np.int64)), pa.array(c)], ["qu_row", "lang", "g", "n"])
 
-    each = rows.select("qu_row", "qu_lang", "qu_text").mapInArrow(run, "qu_row bigint, lang string, g bigint, n bigint")
+    each = rows.select("qu_number", "qu_lang", "qu_text").mapInArrow(run, "qu_row bigint, lang string, g bigint, n bigint")
     once = _few(words.filter("g is null").select("lang", F.col("lp").alias("once")))
     p = each.join(words.filter("g is not null"), ["lang", "g"], "left").join(once, "lang", "left")
     return p.groupBy("qu_row").agg(F.sum(F.col("n") * F.coalesce("lp", "once")).alias("qu_word_log"))
 
 
-def judged(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", model_rows: int = MODEL_ROWS, lower: float = LOWER, upper: float = UPPER, word_lower: float = WORD_LOWER, word_upper: float = WORD_UPPER) -> DataFrame:
-    """A row for each row of docs: the columns of carry, qu_n_words and the other base counts, qu_base_failed,
-    qu_log_perplexity (nats a character), qu_low and qu_high (its language's band), qu_word_perplexity (nats a word, null
-    without words), qu_word_low and qu_word_high, and qu_kept.
+def _languages(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
+    """qu_lang, qu_text and qu_row (all columns) of each row; languages of few documents are one together."""
+    lang = F.coalesce(F.concat(F.lit("l"), column(lang_col).cast("string")), F.lit(""))
+    many = docs.groupBy(lang.alias("qu_many")).agg(F.count("*").alias("n")).filter(F.col("n") >= ENOUGH).select("qu_many")
+    rows = docs.select(whole_row(docs).alias("qu_row"), lang.alias("qu_own"), column(text_col).cast("string").alias("qu_text"))
+    known = rows.join(_few(many), F.col("qu_own") == F.col("qu_many"), "left")
+    return known.select("qu_row", F.coalesce("qu_many", F.lit("few")).alias("qu_lang"), "qu_text")
 
-    Null text: as the empty one, no words. Null language: a language of its own. A language with under ENOUGH documents
-    that pass the base rules has no band, and its documents are kept. Repeated rows count and are judged alike. No rows:
-    no rows. Names in carry that begin with qu_ are refused; all columns outside carry go.
-    """
-    if clash := [c for c in carry if c.startswith("qu_")]:
-        raise ValueError(f"names kept for the rules: {clash}")
+
+def _scored(docs: DataFrame, row, text_col: str, lang_col: str, model_rows: int) -> DataFrame:
+    """qu_row (what row makes of a row of docs), qu_lang, base counts, qu_base_failed, qu_milli and qu_word_milli
+    (thousandths of nats a character and a word) of each row. Not kept, so that texts in qu_row need no room."""
     spark = docs.sparkSession
-    m = keep(model(keep(count_grams(docs, lang_col, text_col), "quality-4")), "quality-model")
-    rows = docs.select(*[F.col(c) for c in carry], F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("qu_lang"), F.col(text_col).cast("string").alias("qu_text"))
-    words = keep(word_model(keep(count_words(docs, lang_col, text_col), "quality-words")), "quality-word-model")
+    rows = _languages(docs, lang_col, text_col)
+    texts = rows.select("qu_lang", "qu_text")
+    m = keep(model(keep(count_grams(texts, "qu_lang", "qu_text"), "quality-4")), "quality-model")
+    words = keep(word_model(keep(count_words(texts, "qu_lang", "qu_text"), "quality-words")), "quality-word-model")
+    rows = rows.select(row("qu_row").alias("qu_row"), "qu_lang", "qu_text")
     held = spark.sparkContext.broadcast(_arrays(m)) if m.count() <= model_rows else None
     held_words = spark.sparkContext.broadcast(_words(words)) if words.count() <= model_rows else None
     if held is not None and held_words is not None:
-        measured = keep(_measured(rows, carry, held, held_words), "quality")
+        measured = _measured(rows, held, held_words)
     else:
-        numbered = keep(rows.withColumn("qu_row", F.monotonically_increasing_id()), "quality-rows")
-        measured = _measured(numbered.select(*carry, "qu_row", "qu_lang", "qu_text"), [*carry, "qu_row"], held, held_words)
+        numbered = keep(rows.withColumn("qu_number", F.monotonically_increasing_id()), "quality-rows")
+        measured = _measured(numbered.select(F.struct("qu_number", "qu_row").alias("qu_row"), "qu_lang", "qu_text"), held, held_words)
+        measured = measured.withColumn("qu_number", F.col("qu_row.qu_number")).withColumn("qu_row", F.col("qu_row.qu_row"))
         if held is None:
-            measured = measured.drop("qu_log").join(_joined_logs(numbered, m), "qu_row")
+            measured = measured.drop("qu_log").join(_joined_logs(numbered, m).withColumnRenamed("qu_row", "qu_number"), "qu_number")
         if held_words is None:
-            measured = measured.drop("qu_word_log").join(_joined_word_logs(numbered, words), "qu_row", "left")
-        measured = keep(measured.drop("qu_row"), "quality")
+            measured = measured.drop("qu_word_log").join(_joined_word_logs(numbered, words).withColumnRenamed("qu_row", "qu_number"), "qu_number", "left")
+        measured = measured.drop("qu_number")
     few, many = F.col("qu_n_words") < FEW_WORDS, 100 * F.col("qu_n_repeat_words") > REPEATED * F.col("qu_n_words")
     # whole thousandths: the values of a language stay few, so its exact percentiles are a small aggregate
     milli = lambda log, n: F.round(F.try_divide(-F.col(log), F.col(n)) / (MICRO / 1000)).cast("int")
-    measured = measured.withColumns({"qu_base_failed": few | many, "qu_milli": milli("qu_log", "qu_chars"), "qu_word_milli": milli("qu_word_log", "qu_n_words")})
+    return measured.withColumns({"qu_base_failed": few | many, "qu_milli": milli("qu_log", "qu_chars"), "qu_word_milli": milli("qu_word_log", "qu_n_words")})
+
+
+def _bands(measured: DataFrame, lower: float, upper: float, word_lower: float, word_upper: float) -> DataFrame:
+    """qu_lang, qu_low, qu_high, qu_word_low and qu_word_high of the languages that have a band."""
     counted = measured.filter(~F.col("qu_base_failed"))
     both = ("qu_", "qu_word_")
     middle = counted.groupBy("qu_lang").agg(*[F.percentile(f"{p}milli", F.lit(0.5)).alias(f"{p}middle") for p in both], F.count("*").alias("qu_docs"))
     spread = counted.join(_few(middle), "qu_lang").groupBy("qu_lang").agg(
         *[F.percentile(F.abs(F.col(f"{p}milli") - F.col(f"{p}middle")), F.lit(0.5)).alias(f"{p}mad") for p in both], *[F.first(c).alias(c) for c in ("qu_middle", "qu_word_middle", "qu_docs")]
     )
-    spread = _few(spread)
     s = {p: F.greatest(F.col(f"{p}mad") * 1.4826 / 1000, F.lit(LEAST_SPREAD)) for p in both}
     widths = {"qu_": (lower, upper), "qu_word_": (word_lower, word_upper)}
     edges = [(F.col(f"{p}middle") / 1000 + sign * w * s[p]).alias(f"{p}{edge}") for p in both for edge, sign, w in zip(("low", "high"), (-1, 1), widths[p], strict=True)]
-    band = spread.filter(F.col("qu_docs") >= ENOUGH).select("qu_lang", *edges)
-    perplexity = {p: F.col(f"{p}milli") / 1000 for p in both}
+    return _few(spread.filter(F.col("qu_docs") >= LEAST).select("qu_lang", *edges))
+
+
+def _verdicts(measured: DataFrame, bands: DataFrame) -> DataFrame:
+    """measured and qu_log_perplexity, qu_word_perplexity, the bands and qu_kept."""
+    perplexity = {p: F.col(f"{p}milli") / 1000 for p in ("qu_", "qu_word_")}
     slack = {"qu_": SAMPLING / F.sqrt("qu_chars"), "qu_word_": F.coalesce(F.try_divide(F.lit(SAMPLING), F.sqrt("qu_n_words")), F.lit(0.0))}
     inside = F.lit(True)
-    for p in both:
+    for p in perplexity:
         inside = inside & F.coalesce(perplexity[p].between(F.col(f"{p}low") - slack[p], F.col(f"{p}high") + slack[p]), F.lit(True))
-    return measured.join(band, "qu_lang", "left").select(
-        *[F.col(c) for c in carry], *[F.col(f"qu_{c}") for c in COUNTS], "qu_base_failed", perplexity["qu_"].alias("qu_log_perplexity"), "qu_low", "qu_high",
-        perplexity["qu_word_"].alias("qu_word_perplexity"), "qu_word_low", "qu_word_high", (~F.col("qu_base_failed") & inside).alias("qu_kept"),
-    )
+    return measured.join(bands, "qu_lang", "left").withColumns({"qu_log_perplexity": perplexity["qu_"], "qu_word_perplexity": perplexity["qu_word_"], "qu_kept": ~F.col("qu_base_failed") & inside})
+
+
+GIVEN = (*[f"qu_{c}" for c in COUNTS], "qu_base_failed", "qu_log_perplexity", "qu_low", "qu_high", "qu_word_perplexity", "qu_word_low", "qu_word_high", "qu_kept")
+
+
+def judged(docs: DataFrame, carry: list[str], text_col: str = "text", lang_col: str = "lang", model_rows: int = MODEL_ROWS, lower: float = LOWER, upper: float = UPPER, word_lower: float = WORD_LOWER, word_upper: float = WORD_UPPER) -> DataFrame:
+    """A row for each row of docs: the columns of carry, qu_n_words and the other base counts, qu_base_failed,
+    qu_log_perplexity (nats a character), qu_low and qu_high (its language's band), qu_word_perplexity (nats a word, null
+    without words), qu_word_low and qu_word_high, and qu_kept.
+
+    Null text: as the empty one, no words. Null language: a language of its own. Languages with under ENOUGH documents
+    are judged as one together; if under LEAST of theirs pass the base rules, there is no band, and those stay. Repeated
+    rows count and are judged alike. No rows: no rows. Other columns go; a column of carry that has a name of GIVEN goes too.
+    """
+    carry = [c for c in carry if c not in GIVEN]
+    row = lambda r: F.struct(F.lit(0).alias("none"), *[F.col(r).getField(c).alias(f"c{k}") for k, c in enumerate(carry)])
+    measured = keep(_scored(docs, row, text_col, lang_col, model_rows), "quality")
+    found = _verdicts(measured, _bands(measured, lower, upper, word_lower, word_upper))
+    return found.select(*[F.col("qu_row").getField(f"c{k}").alias(c) for k, c in enumerate(carry)], *GIVEN)
 
 
 def good_documents(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that the rules keep, with docs' columns."""
-    return judged(docs, docs.columns, text_col, lang_col).filter("qu_kept").select(*docs.columns)
+    """The rows of docs that the rules keep, with docs' columns, whatever their names. Scored twice, for the bands and
+    for the rows, so that no text is kept or shuffled. Nulls, repeated rows and no rows: as for judged."""
+    measured = _scored(docs, F.col, text_col, lang_col, MODEL_ROWS)
+    numbers = keep(measured.select("qu_lang", "qu_base_failed", "qu_milli", "qu_word_milli"), "quality-numbers")
+    found = _verdicts(measured, _bands(numbers, LOWER, UPPER, WORD_LOWER, WORD_UPPER)).filter("qu_kept")
+    return unfolded(found, "qu_row", docs.columns)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
     found = judged(documents(spark, sf_dir), ["doc_id"])
     return found.select("doc_id", *[F.col(f"qu_{c}").alias(c) for c in COUNTS], F.col("qu_base_failed").alias("base_failed"), F.col("qu_kept").alias("kept"), F.round(F.exp("qu_log_perplexity"), 6).alias("perplexity"))
-
-
