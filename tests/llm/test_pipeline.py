@@ -40,3 +40,31 @@ def test_stages(spark, tmp_path):
     assert sum(r.length for r in packed.collect()) == sum(r.doc_tokens for r in packed.filter("start = 0").collect())
     assert packed.filter("start = 0").count() == len(got)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_stages_stand_odd_rows(spark, tmp_path):
+    random.seed(5)
+    vocabulary = ["".join(random.choice("aeioulnrst") for _ in range(5)) for _ in range(200)]
+    prose = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    rows = [(i, prose(40), "en", f"s{i % 2}", 0, "x", 1, None, "c") for i in range(60)]
+    alone = prose(50)
+    rows += [(None, alone, None, None, None, None, None, None, None)] * 3 + [(None, None, None, None, None, None, None, None, None)] * 2
+    rows += [(7, rows[7][1], "en", "s1", 0, "other", 2, None, "d"), (8, "", "en", "s1", 0, "x", 1, None, ""), (90, prose(30_000), "en", "s0", 0, "x", 1, None, "long")]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, qu_lang string, nd_key int, sc_row string, `mx_row` string"
+    docs = spark.createDataFrame(rows, schema)
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        seen.append(keep(stage(spark, seen[-1], str(tmp_path)), "odd"))
+        if name != "packing":
+            assert seen[-1].columns == docs.columns, name
+    _, good, unique, masked, mixed, packed = seen
+    found = [(r.doc_id, r.text) for r in good.collect()]
+    assert found.count((None, alone)) == 3 and {i for i, _ in found} >= {*range(60), 90} and all(t for _, t in found)
+    left = [(r.doc_id, r.text) for r in unique.collect()]
+    assert left.count((None, alone)) == 1 and sorted(i for i, _ in left if i is not None) == [*range(60), 90]
+    assert sorted(map(repr, left)) == sorted(repr((r.doc_id, r.text)) for r in masked.collect())
+    assert packed.filter("start = 0").count() == mixed.count() > 0
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        none = keep(stage(spark, none, str(tmp_path)), "none")
+        assert none.count() == 0
