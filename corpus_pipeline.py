@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilshift.llm import mixing, neardup, packing, quality, secrets
-from veilshift.llm.common import documents, keep
+from veilshift.llm.common import discard, documents, keep
 
 #: SQL can't express the language model, the exact components and the tokenizer.
 ORACLE_SQL = None
@@ -55,10 +55,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply STAGES to documents, each over the kept table of the one before."""
+    """Apply STAGES to documents, each over the kept table of the one before, which goes once its successor is kept."""
     docs = documents(spark, sf_dir)
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = keep(docs, f"stage-{name.replace(' ', '-')}")
+            if k:
+                discard(before)
     return docs
