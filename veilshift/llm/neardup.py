@@ -387,7 +387,7 @@ def _components(docs: DataFrame, text_col: str, nodes: DataFrame) -> DataFrame:
         if not size[0]:
             return united
         # chains go on while they unite what is left; two that lie apart can't be told from two that don't but by comparing
-        last = size[1] <= max(FEW * size[0], PAIRS) or before is not None and size[1] > 0.75 * before
+        last = size[1] <= max(FEW * size[0], PAIRS) or before is not None and size[1] > before / 2
         before = size[1]
         if not last:
             # any shingle that two sets share may bring them together here, so all after their first one may be common
