@@ -160,3 +160,13 @@ def test_entry_stands_without_the_training_package(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), [q for q in e.queries() if q[0] != 'q'])"], cwd=tmp_path, capture_output=True, text=True)
     assert said.stdout.strip().endswith("[]"), said.stderr
+
+
+def test_last_by_primary_key_whatever_the_keys_look_like(spark, tmp_path):
+    from veilshift import checks  # noqa: F401 - registers the query
+
+    events = [(e, 10_000 + e % 3, t) for e, t in enumerate("abcdefg")]
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    got = registry.queries()["q_run_last_by_primary_key"](spark, str(tmp_path))
+    assert got.schema.simpleString() == "struct<user_id:bigint,event_id:bigint,event_type:string>"
+    assert rows(got) == [(10_000, 6, "g"), (10_001, 4, "e"), (10_002, 5, "f")]
