@@ -2,6 +2,8 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from veilshift.llm import quality as Q
@@ -125,3 +127,18 @@ def test_word_salad_goes_and_prose_stays(spark):
     counts = Counter(w for t in good + symbols for w in t.split())
     want = -sum(math.log(counts[w] / sum(counts.values())) for w in good[0].split()) / 150
     assert got[0].qu_word_perplexity == pytest.approx(want, abs=1e-3)
+
+
+def test_scoring_holds_little(spark):
+    docs = spark.createDataFrame([(i, f"some words of text {i} and more", "en") for i in range(60)], "doc_id bigint, text string, lang string")
+    plan = Q.good_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    sent = [line for line in plan.split("MapInArrow")[-1].split("\n")[1:] if "Project" in line][0]
+    assert "qu_row" in sent and "qu_text" not in sent  # a text goes to Python once
+    rows = {k: (np.arange(100_000, dtype=np.int64) * 7, np.full(100_000, -5, np.int32), np.full(100_000, -3, np.int32)) for k in (1, 2, 3, 4)}
+    held = Q.Arrays(rows)
+    assert sum(x.nbytes for of in held.of.values() for x in of) <= 24 * 400_000
+    assert held.log(np.array([7, 8], np.uint64), 1).tolist() == [-5, -20_000_000]
+    texts = ["ab" * 200_000, None, "x", "y" * 300_000, ""]
+    batch = pa.RecordBatch.from_arrays([pa.StructArray.from_arrays([pa.array(range(5)), pa.array(texts)], ["i", "t"]), pa.array(["l"] * 5)], ["qu_row", "qu_lang"])
+    parts = list(Q._portions([batch], (1, 0), 1, Q.SCORED))
+    assert [x.num_rows for x, _ in parts] == [1, 3, 1] and sum((t for _, (_, t) in parts), []) == texts
