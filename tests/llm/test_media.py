@@ -1,5 +1,6 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -96,3 +97,18 @@ def test_query(spark, tmp_path):
     assert got[6][1:] == got[7][1:] and got[0][1:] == got[1][1:]
     m = media_column(spark.createDataFrame([(1, "x")], "doc_id int, text string"), with_media=True).first()
     assert hashlib.sha256(bytes(m.media)).hexdigest() == m.media_sha256 and len(m.media) == m.media_bytes
+
+
+def test_repeating_tiles_take_few_steps(monkeypatch):
+    syllables = ["th", "he", "an", "nd ", "on", "ti", "es ", "ha", "ou", "in"]
+    tile = "".join(syllables[i * i * 7 // 5 % 10] + syllables[i // 3 % 10] for i in range(5000)).encode()[:12288]
+    pixels = np.frombuffer(tile, np.uint8).reshape(64, 64, 3).astype(np.uint32)
+    pixels = pixels[..., 0] << 16 | pixels[..., 1] << 8 | pixels[..., 2] | 0xFF000000
+    wide = np.random.default_rng(3).choice(pixels.ravel(), (64, 64))
+    steps = Counter()
+    for kind, name in ((webp.Writer, "put"), (webp.Prefix, "read")):
+        monkeypatch.setattr(kind, name, lambda self, *a, f=getattr(kind, name), name=name: (steps.update([name]), f(self, *a))[1])
+    stream = webp.encode(wide, cached=6, matches=True)
+    assert (webp.decode(stream) == wide).all()
+    assert steps["put"] < 2000 and steps["read"] < 2000  # not one for each field of 4096 pixels
+    assert hashlib.sha256(stream).hexdigest() == "5a3476f398222a162f5093eda6559c906f5c5ee5d61da48073a1974b2ce3cfa2"  # as when each field was written by itself

@@ -52,12 +52,11 @@ class Prefix:
         if self.only is not None:
             self.table = np.array([self.only << 4], np.int32)
             return
-        if int((1 << (self.most - lengths[used])).sum()) != 1 << self.most:
+        shares = 1 << (self.most - lengths[used])
+        if int(shares.sum()) != 1 << self.most:
             raise ValueError("a prefix code isn't complete")
-        self.table = np.zeros(1 << self.most, np.int32)
-        for symbol, code in codes(lengths).items():
-            n = int(lengths[symbol])
-            self.table[code :: 1 << n] = symbol << 4 | n
+        order = np.argsort(lengths[used], kind="stable")
+        self.table = np.repeat((used << 4 | lengths[used])[order], shares[order])[_reversed(self.most)].astype(np.int32)
 
     def read(self, bits: Bits) -> int:
         if self.only is not None:
@@ -70,15 +69,32 @@ class Prefix:
         return x >> 4
 
 
+@cache
+def _reversed(n: int) -> np.ndarray:
+    """The numbers of n bits with their bits in reverse order."""
+    out = np.zeros(1, np.int64)
+    for _ in range(n):
+        out = np.concatenate([2 * out, 2 * out + 1])
+    return out
+
+
+def code_array(lengths) -> np.ndarray:
+    """Canonical code of each symbol, first bit lowest; 0 for those without."""
+    lengths = np.asarray(lengths, np.int64)
+    used = np.nonzero(lengths)[0]
+    out = np.zeros(len(lengths), np.int64)
+    if len(used):
+        most = int(lengths.max())
+        order = used[np.argsort(lengths[used], kind="stable")]
+        shares = 1 << (most - lengths[order])
+        out[order] = _reversed(most)[np.cumsum(shares) - shares]
+    return out
+
+
 def codes(lengths) -> dict[int, int]:
     """Symbol: its canonical code, first bit lowest."""
-    out, code, before = {}, 0, 0
-    for n, s in sorted((int(n), s) for s, n in enumerate(lengths) if n):
-        code <<= n - before
-        before = n
-        out[s] = int(f"{code:0{n}b}"[::-1], 2)
-        code += 1
-    return out
+    code = code_array(lengths).tolist()
+    return {s: code[s] for s, n in enumerate(lengths) if n}
 
 
 def code_lengths(weights: dict[int, float], size: int, most: int = 15) -> list[int]:
@@ -173,32 +189,52 @@ def _pixels(bits: Bits, width: int, height: int, main: bool, parsed=None) -> np.
     cache_of = [0] * (1 << cached) if cached else []
     across, group = -(-width >> block), groups[0]
     done = 0  # pixels that the cache has seen
+    data = np.frombuffer(bits.data + bytes(16), np.uint8).astype(np.uint32)
+    words = (data[:-3] | data[1:-2] << 8 | data[2:-1] << 16 | data[3:] << 24).tolist()  # four bytes from each on
+    tables = [[(code.table.tolist(), (1 << code.most) - 1) for code in g[:4]] for g in groups]  # a code without bits has one entry
+    (greens, green), (reds, red), (blues, blue), (alphas, alpha) = tables[0]
+    at, end, n = bits.at, bits.all, 0
 
-    def see(upto: int) -> None:
-        nonlocal done
-        if cached:
-            for p in out[done:upto]:
-                cache_of[(HASH * p & 0xFFFFFFFF) >> (32 - cached)] = p
-        done = upto
-
-    while len(out) < total:
-        at = len(out)
+    while n < total:
         if which:
-            group = groups[which[(at // width >> block) * across + (at % width >> block)]]
-        s = group[0].read(bits)
+            g = which[(n // width >> block) * across + (n % width >> block)]
+            group = groups[g]
+            (greens, green), (reds, red), (blues, blue), (alphas, alpha) = tables[g]
+        if at > end:
+            raise ValueError("the image ends too early")
+        x = greens[words[at >> 3] >> (at & 7) & green]
+        at += x & 15
+        s = x >> 4
         if s < 256:
-            red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
-            out.append(alpha << 24 | red << 16 | s << 8 | blue)
+            x = reds[words[at >> 3] >> (at & 7) & red]
+            at += x & 15
+            y = blues[words[at >> 3] >> (at & 7) & blue]
+            at += y & 15
+            z = alphas[words[at >> 3] >> (at & 7) & alpha]
+            at += z & 15
+            out.append(z >> 4 << 24 | x >> 4 << 16 | s << 8 | y >> 4)
+            n += 1
         elif s < 256 + LENGTHS:
-            n = _value(bits, s - 256)
+            bits.at = at
+            run = _value(bits, s - 256)
             d = _distance(_value(bits, group[4].read(bits)), width)
-            if d > at or at + n > total:
+            at = bits.at
+            if d > n or n + run > total:
                 raise ValueError("a back-reference leaves the image")
-            for _ in range(n):
-                out.append(out[-d])
+            if d >= run:
+                out += out[n - d : n - d + run]
+            else:
+                out += (out[n - d :] * (run // d + 1))[:run]
+            n += run
         else:
-            see(at)
+            for p in out[done:]:
+                cache_of[(HASH * p & 0xFFFFFFFF) >> (32 - cached)] = p
+            done = n
             out.append(cache_of[s - 256 - LENGTHS])
+            n += 1
+    bits.at = at
+    if at > end:
+        raise ValueError("the image ends too early")
     return np.array(out, np.uint32)
 
 
@@ -435,6 +471,18 @@ class Writer:
         self.bits |= value << self.n
         self.n += n
 
+    def put_many(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        """put each value; its bits over sizes are 0, sizes are under 32."""
+        ends = np.cumsum(sizes)
+        if not len(ends) or not ends[-1]:
+            return
+        at, plane = ends - sizes, np.zeros(int(ends[-1]), np.uint8)
+        for k in range(int(sizes.max())):
+            which = sizes > k
+            at, values, sizes = at[which], values[which], sizes[which]
+            plane[at + k] = values >> k & 1
+        self.put(int.from_bytes(np.packbits(plane, bitorder="little").tobytes(), "little"), int(ends[-1]))
+
     def bytes(self) -> bytes:
         return self.bits.to_bytes((self.n + 7) // 8, "little")
 
@@ -474,6 +522,21 @@ def _put_prefix(w: Writer, lengths: list[int]) -> None:
         w.put(extra, n)
 
 
+def _before(keys: np.ndarray) -> np.ndarray:
+    """The last earlier place of each place's key, -1 if there is none."""
+    order = np.argsort(keys, kind="stable")
+    out = np.full(len(keys), -1, np.int64)
+    again = np.nonzero(keys[order[1:]] == keys[order[:-1]])[0]
+    out[order[again + 1]] = order[again]
+    return out
+
+
+@cache
+def _near(width: int) -> dict[int, int]:
+    """Distance in pixels: the code of the nearest neighbour that lies so far back."""
+    return {max(1, x + y * width): i + 1 for i, (x, y) in reversed(list(enumerate(NEAR)))}
+
+
 def _prefix_of(value: int) -> tuple[int, int, int]:
     """Prefix symbol, extra bits and their number of a length or distance."""
     v = value - 1
@@ -498,50 +561,63 @@ def _put_pixels(w: Writer, pixels: list[int], width: int, main: bool, cached: in
             group = lambda at: ((at % width >> split) + (at // width >> split)) % 2
             w.put(split - 2, 3)
             _put_pixels(w, [BLACK | (x + y) % 2 << 8 for y in range(-(-height >> split)) for x in range(across)], across, False)
-    cache_of, seen, tokens, at = {}, {}, [], 0  # (group, symbol, other symbols or extra)
-    while at < len(pixels):
-        p, g, run = pixels[at], group(at), 0
-        before = seen.get(tuple(pixels[at : at + 3])) if matches else None
-        if before is not None:
-            while at + run < len(pixels) and run < 4096 and pixels[before + run] == pixels[at + run]:
+    of = np.array(pixels, np.int64)
+    # tokens: where they begin, then green or length or cache symbol, and up to four further fields
+    kept, runs = np.ones(len(of), bool), []  # a token begins here; (where, length, distance)
+    if matches and len(of) > 3:
+        colour = np.unique(of, return_inverse=True)[1].astype(np.int64)
+        triple = (colour[:-2] * len(of) + colour[1:-1]) * len(of) + colour[2:] if len(of) < 1 << 21 else None
+        if triple is None:
+            raise ValueError("the image is too large for back-references")
+        before = _before(triple)
+        places, at = np.nonzero(before >= 0)[0].tolist(), 0
+        earlier = before.tolist()
+        for place in places:
+            if place < at:
+                continue
+            b, run, most = earlier[place], 3, min(4096, len(of) - place)
+            while run < most and pixels[b + run] == pixels[place + run]:
                 run += 1
-        slot = (HASH * p & 0xFFFFFFFF) >> (32 - cached) if cached else 0
-        if run >= 3:
-            d = at - before
-            near = next((i + 1 for i, (x, y) in enumerate(NEAR) if max(1, x + y * width) == d), d + len(NEAR))
-            tokens.append((g, 256 + _prefix_of(run)[0], _prefix_of(run)[1:], _prefix_of(near)))
-        elif cached and cache_of.get(slot) == p:
-            tokens.append((g, 256 + LENGTHS + slot))
-            run = 1
-        else:
-            tokens.append((g, p >> 8 & 255, p >> 16 & 255, p & 255, p >> 24))
-            run = 1
-        for i in range(at, at + run):
-            seen[tuple(pixels[i : i + 3])] = i
-            if cached:
-                cache_of[(HASH * pixels[i] & 0xFFFFFFFF) >> (32 - cached)] = pixels[i]
-        at += run
-    sizes = (256 + LENGTHS + ((1 << cached) if cached else 0), 256, 256, 256, DISTANCES)
-    every = []
+            runs.append((place, run, place - b))
+            at = place + run
+            kept[place + 1 : at] = False
+    where = np.nonzero(kept)[0]
+    kind = np.zeros(len(of), np.int8)  # 0: literal, 1: from the cache, 2: back-reference
+    symbol = of >> 8 & 255
+    if cached:
+        slot = (HASH * of & 0xFFFFFFFF) >> (32 - cached)
+        before = _before(slot)
+        hit = (before >= 0) & (of[before] == of)
+        kind[hit], symbol[hit] = 1, 256 + LENGTHS + slot[hit]
+    near, extras = _near(width), []
+    for place, run, d in runs:
+        length, far = _prefix_of(run), _prefix_of(near.get(d, d + len(NEAR)))
+        kind[place], symbol[place] = 2, 256 + length[0]
+        extras.append((*length[1:], *far))
+    extras = np.array(extras, np.int64).reshape(-1, 5)
+    groups = np.zeros(len(of), np.int64)
+    if n > 1:
+        i = np.arange(len(of))
+        groups = ((i % width >> split) + (i // width >> split)) % 2
+    kind, symbol, groups, of = kind[where], symbol[where], groups[where], of[where]
+    literal, copied = kind == 0, kind == 2
+    values, sizes = np.zeros((len(where), 5), np.int64), np.zeros((len(where), 5), np.int64)
+    values[copied, 1], sizes[copied, 1] = extras[:, 0], extras[:, 1]
+    values[copied, 3], sizes[copied, 3] = extras[:, 3], extras[:, 4]
+    far = np.zeros(len(where), np.int64)
+    far[copied] = extras[:, 2]
+    # the field of each code, the tokens that use it, its symbols
+    fields = ((0, np.ones(len(where), bool), symbol, 256 + LENGTHS + ((1 << cached) if cached else 0)), (1, literal, of >> 16 & 255, 256), (2, literal, of & 255, 256), (3, literal, of >> 24, 256), (2, copied, far, DISTANCES))
     for g in range(n):
-        of = [t for t in tokens if t[0] == g]
-        literal = [t for t in of if len(t) == 5]
-        uses = (Counter(t[1] for t in of), *[Counter(t[k] for t in literal) for k in (2, 3, 4)], Counter(t[3][0] for t in of if len(t) == 4))
-        lengths = [code_lengths(u, s) for u, s in zip(uses, sizes, strict=True)]
-        for x in lengths:
-            _put_prefix(w, x)
-        every.append([(codes(x) if sum(map(bool, x)) > 1 else {}, x) for x in lengths])
-    for t in tokens:
-        of = every[t[0]]
-        put = lambda k, s: w.put(of[k][0].get(s, 0), of[k][1][s] if of[k][0] else 0)  # noqa: B023, E731
-        put(0, t[1])
-        if len(t) == 5:
-            for k in (1, 2, 3):
-                put(k, t[k + 1])
-        elif len(t) == 4:
-            w.put(*t[2])
-            put(4, t[3][0])
-            w.put(*t[3][1:])
+        for field, users, symbols, size in fields:
+            which = users & (groups == g)
+            counts = np.bincount(symbols[which], minlength=size)
+            used = np.nonzero(counts)[0]
+            lengths = code_lengths(dict(zip(used.tolist(), counts[used].tolist(), strict=True)), size)
+            _put_prefix(w, lengths)
+            if len(used) > 1:
+                values[which, field], sizes[which, field] = code_array(lengths)[symbols[which]], np.array(lengths)[symbols[which]]
+    w.put_many(values.ravel(), sizes.ravel())
 
 
 def file_of(stream: bytes) -> bytes:
