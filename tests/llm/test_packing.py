@@ -67,3 +67,13 @@ def test_pack_covers_all_ids(spark):
             at += r.length
         assert at == 1024 or at & (at - 1) == 0
     assert pack(docs.limit(0)).count() == 0
+
+
+def test_few_texts_are_held_at_once():
+    import pyarrow as pa
+
+    from veilshift.llm import common
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1300)), pa.array(["text"] * 1300)], ["i", "t"])
+    parts = list(common.slices([batch, batch.slice(0, 0), batch.slice(5, 3)]))
+    assert [x.num_rows for x in parts] == [512, 512, 276, 3] and pa.Table.from_batches(parts).column("i").to_pylist() == [*range(1300), 5, 6, 7]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 
 LENGTH = 1024
 #: Pieces that are packed together; bounds a task's memory to this many pieces of LENGTH ids.
@@ -150,14 +150,14 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     def run(batches):
         encode = bpe(path).encode
-        sequence, pieces, names, id_type = None, [], None, None  # pieces: id, start in the document, ids, its tokens
+        sequence, pieces, names, id_type = None, [], None, None  # pieces: id, start in the document, ids (of a full one their checksum), its tokens
 
         def flush(pieces, sequence):
             columns: list[list] = [[] for _ in range(8)]
             short = []
             for p in pieces:
-                if len(p[2]) == 4 * length:
-                    for c, v in zip(columns, (p[0], p[1], length, zlib.crc32(p[2]), p[3], sequence, 0, length), strict=True):
+                if isinstance(p[2], int):
+                    for c, v in zip(columns, (p[0], p[1], length, p[2], p[3], sequence, 0, length), strict=True):
                         c.append(v)
                     sequence += 1
                 else:
@@ -172,7 +172,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         def batch_of(columns):
             return pa.RecordBatch.from_arrays([pa.array(columns[0], id_type), *[pa.array(c, pa.int64()) for c in columns[1:]]], names)
 
-        for batch in batches:
+        for batch in slices(batches):
             if sequence is None and batch.num_rows:
                 sequence = batch.column(2)[0].as_py() << 40  # unique over the partitions
                 id_type, names = batch.schema.field(0).type, [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "sequence_length"]
@@ -180,7 +180,8 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
                 ids = encode(text or "") + end
                 tokens = len(ids) // 4
                 for at in range(0, tokens, length):
-                    pieces.append((doc, at, ids[4 * at : 4 * (at + length)], tokens))
+                    piece = ids[4 * at : 4 * (at + length)]
+                    pieces.append((doc, at, zlib.crc32(piece) if len(piece) == 4 * length else piece, tokens))
                     if len(pieces) == window:
                         columns, sequence = flush(pieces, sequence)
                         pieces = []

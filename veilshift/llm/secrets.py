@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import column, documents, keep, whole_row
+from .common import column, documents, keep, slices, whole_row
 
 #: A private key up to its END line, or without one its header fields and lines of base64; group 1 is the body.
 PEM = re.compile(
@@ -118,7 +118,7 @@ def _scan(docs: DataFrame, row: Column, text_col: str) -> DataFrame:
     names = ["sc_row", "sc_assign", "sc_access", "sc_hex", "sc_base", "sc_spans"]
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             spans = [find(t) for t in batch.column(1).to_pylist()]
             base = [[s for s in x if s[1] < BASE] for x in spans]
             counts = [pa.array([sum(s[1] == k for s in x) for x in base], pa.int64()) for k in range(BASE)]
@@ -216,7 +216,7 @@ def masked(docs: DataFrame, text_col: str = "text", repository: str = "doc_id",
         known = docs.sparkSession.sparkContext.broadcast(frozenset(wide.toArrow()["hash"].to_pylist()))
 
         def work(batches):
-            for batch in batches:
+            for batch in slices(batches):
                 copied = known.value
                 yield put(batch, [t and replaced(t, [(a, b) for a, _, b, v in find(t) if _digest(v) not in copied]) for t in batch.column(text_at).to_pylist()])
 
@@ -229,7 +229,7 @@ def masked(docs: DataFrame, text_col: str = "text", repository: str = "doc_id",
     rows = joined.select(*[F.col("sc_row").getField(c).alias(c) for c in docs.columns], F.col("sc_live").alias("sc_live"))
 
     def mend(batches):
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(text_at).to_pylist()
             found = batch.column(batch.num_columns - 1).to_pylist()
             yield put(batch, [replaced(t, [(s["start"], s["end"]) for s in x]) if x else t for t, x in zip(texts, found, strict=True)])
