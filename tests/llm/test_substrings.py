@@ -50,3 +50,13 @@ def test_equals_brute_force(spark, monkeypatch, limit, held):
 def test_empty(spark):
     assert S.removed(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     assert [tuple(r) for r in S.removed(spark.createDataFrame([(None, None), (1, "x" * 400)], "doc_id bigint, text string")).drop("spans", "kept_sha256").orderBy("n_bytes").collect()] == [(None, 0, 0, 0), (1, 400, 0, 0)]
+
+
+def test_passages_of_over_50_words_at_the_contracts_length(spark):
+    random.seed(5)
+    text = lambda n: " ".join("".join(random.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    passages = [text(51), text(70)[:399], text(70)[:400], text(70)]  # of 356, 399, 400 and 489 bytes
+    texts = [f"{text(40)}{a}{p}{b}{text(40)}" for p in passages for a, b in ("(!", "[?")]
+    got = sorted(S.removed(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect())
+    assert [tuple(r[1:5]) for r in got] == brute(texts, S.LENGTH)
+    assert [r.n_removed for r in got] == [0, 0, 0, 0, 400, 400, 489, 489]
